@@ -23,8 +23,15 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_digests(spark, path)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join as J
+
+    return J.components(C.read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op6_ngram_join": op6_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
