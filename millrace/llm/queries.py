@@ -29,9 +29,23 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.components(C.read_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_links as L
+
+    return L.scan(C.read_table(spark, sf_dir, "documents"))
+
+
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fm_index as X
+
+    return X.contamination(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op6_ngram_join": op6_ngram_join,
+    "op9_secret_links": op9_secret_links,
+    "op10_fm_decontamination": op10_fm_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
