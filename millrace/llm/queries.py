@@ -23,12 +23,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_digests(spark, path)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing as M
+
+    return M.taken(C.read_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join as J
 
     return J.components(C.read_table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprint as P
+
+    return P.edit_report(C.read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_links as L
 
@@ -43,9 +55,17 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_mixing": op2_mixing,
     "op6_ngram_join": op6_ngram_join,
+    "op7_fingerprint": op7_fingerprint,
     "op9_secret_links": op9_secret_links,
     "op10_fm_decontamination": op10_fm_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracle() -> dict[str, str]:
+    from . import mixing
+
+    return {"op2_mixing": mixing.ORACLE}
+
+
+ORACLE_SQL: dict[str, str] = _oracle()
