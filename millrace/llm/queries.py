@@ -29,6 +29,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.taken(C.read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as T
+
+    docs = C.read_table(spark, sf_dir, "documents")
+    return T.scores(docs, T.train(docs, C.read_table(spark, sf_dir, "labels")))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join as J
 
@@ -56,6 +63,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_mixing": op2_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_fingerprint": op7_fingerprint,
     "op9_secret_links": op9_secret_links,
