@@ -37,65 +37,45 @@ _BYTES = _byte_letters()
 
 
 class _Memo(dict):
-    """Ids by word, in two generations: a full one becomes the old one, so words in use stay."""
+    """Ids by word, in two generations: a full one becomes the old one, so words in use stay.
 
-    def __init__(self, encode, most: int):
+    What is missing is worked out on the spot: a word's pieces are words too."""
+
+    def __init__(self, tokenize, most: int):
         super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
+        self.tokenize, self.most, self.old = tokenize, most, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            raise KeyError(word)
-        self[word] = found
-        return found
-
-    def learn(self, words: list[str]) -> None:
+            pieces = _PIECE.findall(word)
+            if len(pieces) == 1:
+                ids = [x.id for x in self.tokenize(word.encode().decode("latin1").translate(_BYTES))]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                found = b"".join([self[p] for p in pieces])
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        new = [w for w in set(words) if w not in self and w not in self.old]
-        self.update(zip(new, self.encode(new), strict=True))
+        self[word] = found
+        return found
 
 
 class Encoder:
     """path: a tokenizers file of the kind above. encode() gives little-endian uint32 ids as bytes."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo = _Memo(self._words, most)
-        vocab = self.tok.get_vocab()
-        self.pieces: dict[str, bytes] = {}
-        self.size = max(vocab.values()) + 1
+        self.memo = _Memo(self.tok.model.tokenize, most)
+        self.size = max(self.tok.get_vocab().values()) + 1
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space; the model gets their unknown pieces one by one."""
-        pieces, tokenize = self.pieces, self.tok.model.tokenize
-        if len(pieces) > self.memo.most:
-            pieces.clear()
-        out = []
-        for w in words:
-            got = b""
-            for p in _PIECE.findall(w):
-                ids = pieces.get(p)
-                if ids is None:
-                    ids = pieces[p] = struct.pack(f"<{len(t := tokenize(p.encode().decode('latin1').translate(_BYTES)))}I", *[x.id for x in t])
-                got += ids
-            out.append(got)
-        return out
-
     def encode(self, text: str) -> bytes:
         if _OTHER.search(text):
             return self._library(text)
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            self.memo.learn(words)
-            return b"".join(map(self.memo.__getitem__, words))
+        return b"".join(map(self.memo.__getitem__, text.lower().split()))
