@@ -29,6 +29,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.taken(C.read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup as L
+
+    return L.report(C.read_table(spark, sf_dir, "documents"))
+
+
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_crf as H
+
+    return H.extract(C.read_table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity as T
 
@@ -48,6 +60,12 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.edit_report(C.read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts as K
+
+    return K.attribute(C.read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_links as L
 
@@ -63,9 +81,12 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_html_crf": op4_html_crf,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_fingerprint": op7_fingerprint,
+    "op8_token_counts": op8_token_counts,
     "op9_secret_links": op9_secret_links,
     "op10_fm_decontamination": op10_fm_decontamination,
 }
