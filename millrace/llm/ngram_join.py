@@ -91,7 +91,7 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_SETS = "uid bigint, doc_id bigint, n_shingles bigint, set_key binary, schemes array<struct<band:int,keys:array<bigint>,deleted:array<bigint>,segment:array<int>>>"
+_SETS = "uid bigint, doc_id bigint, h bigint, n_shingles bigint, set_key binary, schemes array<struct<band:int,keys:array<bigint>,deleted:array<bigint>,segment:array<int>>>"
 
 
 def _sets(p: int, k: int):
@@ -102,9 +102,9 @@ def _sets(p: int, k: int):
         bands, hashes, seen = Bands(p), C.WordHashes(), set()
         small = bands.exact_below()
         t = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("deleted", pa.list_(pa.int64())), ("segment", pa.list_(pa.int32()))]))
-        for doc_ids, texts in C.rows_of(batches, "doc_id", "text"):
+        for doc_ids, hs, texts in C.rows_of(batches, "doc_id", "h", "text"):
             out = []
-            for doc_id, text in zip(doc_ids, texts, strict=True):
+            for doc_id, h, text in zip(doc_ids, hs, texts, strict=True):
                 s = np.unique(C.shingle_hashes(hashes(C.ascii_words(text)), k))
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 schemes = None
@@ -117,10 +117,10 @@ def _sets(p: int, k: int):
                             keys, deleted, segment = segment_keys(s, band, bands.segments(band))
                             few = len(s) <= DELETIONS_UP_TO
                             schemes.append({"band": band, "keys": _long(keys), "deleted": _long(deleted) if few else [], "segment": segment if few else []})
-                out.append((uid, doc_id, len(s), key, schemes))
+                out.append((uid, doc_id, h, len(s), key, schemes))
                 uid += 1
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), t], strict=True)], names=["uid", "doc_id", "n_shingles", "set_key", "schemes"])
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), t], strict=True)], names=["uid", "doc_id", "h", "n_shingles", "set_key", "schemes"])
 
     return run
 
@@ -150,7 +150,7 @@ def allocate(keys: np.ndarray, deleted: np.ndarray, segment: np.ndarray, need: i
     return np.asarray(chosen, int), np.asarray(extra, int)
 
 
-def _rows(p: int, counts_b, ):
+def _rows(p: int, counts_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, counts = Bands(p), counts_b.value
 
@@ -198,18 +198,24 @@ def connected(edges: DataFrame, tag: str) -> DataFrame:
             return labels
 
 
+def _key() -> F.Column:
+    """Order of rows: by doc_id, null last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))
+
+
 def links(docs: DataFrame, percent: int = 90, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents' classes, the classes, and the linked pairs of classes.
 
-    docs has doc_id and text. Returns (uid, doc_id, n_shingles, set_key),
-    (set_key, rep, members, low_id) and (a, b) with a and b reps, each pair once.
+    docs has doc_id and text. Returns (uid, doc_id, h: the text's hash, n_shingles,
+    set_key), (set_key, rep, members, low_id, low: the least (doc_id, h)) and (a, b)
+    with a and b reps, each pair once.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    staged = C.materialize(docs.mapInArrow(_sets(percent, k), _SETS), "ngram-sets")
-    members = staged.select("uid", "doc_id", "n_shingles", "set_key")
-    classes = C.materialize(members.filter("set_key is not null").groupBy("set_key").agg(F.min("uid").alias("rep"), F.count("*").alias("members"), F.min("doc_id").alias("low_id"), F.first("n_shingles").alias("n")), "ngram-classes")
+    staged = C.materialize(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_sets(percent, k), _SETS), "ngram-sets")
+    members = staged.select("uid", "doc_id", "h", "n_shingles", "set_key")
+    classes = C.materialize(members.filter("set_key is not null").groupBy("set_key").agg(F.min("uid").alias("rep"), F.count("*").alias("members"), F.min("doc_id").alias("low_id"), F.min(_key()).alias("low")), "ngram-classes")
     lone = staged.filter("schemes is not null").select("uid", "n_shingles", "set_key", "schemes").repartition(C.parts(spark), "set_key").dropDuplicates(["set_key"])
     ready = C.materialize(lone.join(classes.select("set_key", "rep"), "set_key").select(F.col("rep").alias("uid"), "n_shingles", "schemes"), "ngram-keys")
 
@@ -254,18 +260,33 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     sets = docs.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_LOG2)).cast("int")).mapInArrow(full, "set_key binary, elements binary")
     sets = C.materialize(wanted.select("rep", "set_key").join(sets, "set_key").select("rep", "elements").repartition(C.parts(spark), "rep").dropDuplicates(["rep"]), "ngram-elements")
 
+    # A pair's difference is that of its sets' differences from any third set. With one hub for each
+    # group of candidates, only these few elements go to every pair; whole sets move once a class.
+    hubs = connected(pairs, "ngram-hubs")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for reps, xs, ys in C.rows_of(batches, "node", "x", "y"):
+            sizes, differences = [], []
+            for x, y in zip(xs, ys, strict=True):
+                sizes.append(len(x) // 8)
+                differences.append(b"" if x == y else np.setxor1d(np.frombuffer(x, C.U), np.frombuffer(y, C.U), assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(differences, pa.binary())], names=["rep", "n", "difference"])
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a_ids, b_ids, xs, ys in C.rows_of(batches, "a", "b", "x", "y"):
+        for a_ids, b_ids, n, m, xs, ys in C.rows_of(batches, "a", "b", "n", "m", "x", "y"):
             keep = []
-            for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-                x, y = np.frombuffer(x, C.U), np.frombuffer(y, C.U)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+            for i, (p, q, x, y) in enumerate(zip(n, m, xs, ys, strict=True)):
+                apart_by = len(np.setxor1d(np.frombuffer(x, C.U), np.frombuffer(y, C.U), assume_unique=True))
+                both = (p + q - apart_by) // 2
+                if 100 * both >= percent * (p + q - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    one, two = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    of_hub = sets.select(F.col("rep").alias("root"), F.col("elements").alias("y"))
+    beside = hubs.join(sets.select(F.col("rep").alias("node"), F.col("elements").alias("x")), "node").join(of_hub, "root")  # a large group: AQE splits it
+    differences = C.materialize(beside.select("node", "x", "y").mapInArrow(apart, "rep bigint, n bigint, difference binary"), "ngram-differences")
+    one, two = differences.select(F.col("rep").alias("a"), "n", F.col("difference").alias("x")), differences.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("difference").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
@@ -281,3 +302,40 @@ def components(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = members.withColumn("salt", F.pmod(F.hash("uid"), F.lit(SALTS))).join(told, ["set_key", "salt"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("similar", F.lit(0).cast("bigint")).alias("n_similar"), F.when(F.col("similar").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id (then text hash); all columns stay.
+
+    Rows with an empty set all stay. Only rows that a bitmap of 2^22 bits marks as
+    possibly concerned are shuffled; the join decides about them.
+    """
+    spark = docs.sparkSession
+    members, classes, linked = links(docs, percent, k)
+    roots = connected(linked, "ngram")
+    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("told", (F.col("members") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "rep")).filter("told")
+    best = rooted.groupBy("root").agg(F.min("low").alias("best"))
+    told = rooted.join(best, "root").select("set_key", "best").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = members.groupBy("doc_id", "h", "set_key").agg(F.count("*").alias("rows")).withColumn("salt", F.pmod(F.hash("doc_id", "h"), F.lit(SALTS))).join(told, ["set_key", "salt"])
+    stays = F.col("best") == _key()
+    acts = C.materialize(rows.filter(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays")), "ngram-acts")
+    spot = F.pmod(F.xxhash64("__id", "__h"), F.lit(1 << BITMAP_LOG2)).cast("int")
+    bitmap = np.zeros(1 << BITMAP_LOG2, bool)
+    for r in acts.select(spot.alias("spot")).distinct().toLocalIterator():  # at most 2^22 rows
+        bitmap[r["spot"]] = True
+    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+
+    @F.pandas_udf("boolean")
+    def marked(spots):
+        import pandas as pd
+
+        at = spots.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    held = held.withColumn("__id", F.col("__row.doc_id").cast("bigint")).withColumn("__h", F.xxhash64(F.col("__row.text").cast("string"))).withColumn("__marked", marked(spot))
+    acts = acts.select(F.col("__id").alias("__i"), F.col("__h").alias("__g"), "__stays")
+    some = held.filter("__marked").join(acts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left")
+    out = held.filter("not __marked").select("__row").union(some.filter("__stays is null").select("__row")).union(some.filter("__stays").dropDuplicates(["__id", "__h"]).select("__row"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
