@@ -132,7 +132,7 @@ def _cover(toxic: list[set[str]], clean: dict[str, int], n_clean: int) -> dict[s
     def weight(f: str) -> float:
         return math.log((len(rows[f]) + 0.5) / (len(toxic) + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
 
-    fit = {f: r for f, r in rows.items() if len(r) >= LEAST_GAIN and clean.get(f, 0) * 8 * len(toxic) <= len(r) * n_clean and clean.get(f, 0) * 4 <= len(r)}
+    fit = {f: r for f, r in rows.items() if len(r) >= LEAST_GAIN and clean.get(f, 0) * 8 * len(toxic) <= len(r) * n_clean and clean.get(f, 0) <= len(r)}
     import heapq
 
     key = lambda f, gain: (-(gain * weight(f)), -len(f), f)
