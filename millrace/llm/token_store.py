@@ -258,8 +258,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = crc_shift(b.column(4).to_numpy(zero_copy_only=False), 4 * b.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(crc.astype(np.int64))], names=["start", "m", "crc"])
 
-    # a chunk that many documents share is one row on the right: its hot key is split by the last bits of the position
-    salts = 16
+    # a chunk that many documents share is one row on the right: its hot key is split
+    # in four here, and further by AQE where that is still too much for a task
+    salts = 4
     left = entries.withColumn("salt", F.pmod(F.hash("start"), F.lit(salts)))
     right = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = left.join(right, ["key", "salt"], "left").select("start", "left", "m", "found", "crc").mapInArrow(shifted, "start bigint, m bigint, crc bigint")
