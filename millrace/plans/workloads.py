@@ -77,7 +77,7 @@ def shortest_tour(spark: SparkSession, graph: list[list[float]], start: int, sli
 
 def estimate_pi(spark: SparkSession, points: int, seed: int = 1) -> DataFrame:
     inside = (F.pow(F.rand(seed), 2) + F.pow(F.rand(seed + 1), 2)) <= 1
-    return spark.range(points).agg((4 * F.avg(inside.cast("double"))).alias("pi"))
+    return spark.range(points).select(inside.cast("double").alias("inside")).agg((4 * F.avg("inside")).alias("pi"))
 
 
 # -- boolean queries -----------------------------------------------------------------------------

@@ -75,8 +75,8 @@ SCHEMES: dict[str, Callable[[SparkSession, list], DataFrame]] = {"raw": literals
 # -- replica sets -------------------------------------------------------------------------------
 
 
-class DataError(Exception):
-    pass
+class DataError(ValueError):
+    """A replica that can't be read to its end."""
 
 
 class _Set(InputPartition):
