@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import re
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
@@ -60,7 +61,7 @@ def http(spark: SparkSession, urls: list[str]) -> DataFrame:
 
 def replicas(spark: SparkSession, sets: list[list[str]]) -> DataFrame:
     spark.dataSource.register(ReplicaSource)
-    return spark.read.format("replicas").option("sets", "\n".join("\t".join(s) for s in sets)).load().select("url", "value")
+    return spark.read.format("replicas").option("sets", json.dumps(sets)).load().select("url", "value")
 
 
 def directory(spark: SparkSession, urls: list[str], labels: list[int] | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ class ReplicaSource(DataSource):
 
 class _ReplicaReader(DataSourceReader):
     def __init__(self, sets: str):
-        self.sets = [line.split("\t") for line in sets.split("\n") if line]
+        self.sets = json.loads(sets or "[]")
 
     def partitions(self) -> list[InputPartition]:
         return [_Set(s) for s in self.sets]
