@@ -12,7 +12,8 @@ cheapest by the counts of their keys over the corpus. In bands of small sets the
 index also holds each segment's one-deletion neighbourhood, and an allocation
 may let a segment differ in one element, which counts for two, where that is
 cheaper than probing a frequent key. Sets probe their own band's scheme and the
-one below. Pairs that share a key are then verified exactly on their full sets.
+one below. Pairs that share a key are compared by fingerprints of finer cells, of which
+no more can differ than elements; what passes is verified exactly on full sets.
 
 Key counts come from a table of 2^20 counters, which is all that is broadcast
 but for a bitmap of 2^22 bits. No pair within the thresholds is ever skipped:
@@ -71,6 +72,11 @@ class Bands:
         h = self.differ(u, u * 100 // self.p)
         return h + 1 + max(1, h // 16)
 
+    def cells(self, elements: np.ndarray, band: int) -> bytes:
+        """A byte for each of four times as many cells of the universe as elements may differ."""
+        u = self.ends[band]
+        return (segment_keys(elements, band + (1 << 20), 4 * (self.differ(u, u * 100 // self.p) + 1))[0] >> C.U(56)).astype(np.uint8).tobytes()
+
     def need(self, band: int, n: int) -> int:
         return self.differ(min(n, self.ends[band]), n) + 1
 
@@ -243,50 +249,53 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
         bitmap[r["spot"]] = True
     shared = spark.sparkContext.broadcast(np.packbits(bitmap))
 
+    bands = Bands(percent)
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, spots = C.WordHashes(), np.unpackbits(shared.value).astype(bool)
         for b in batches:
             b = b.filter(pa.array(spots[b.column(2).to_numpy(zero_copy_only=False)]))
-            keys, sets = [], []
+            rows = []
             for (texts,) in C.rows_of([b], "text"):
                 for text in texts:
                     s = np.unique(C.shingle_hashes(hashes(C.ascii_words(text)), k))
                     if len(s):
-                        keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "elements"])
+                        band = bands.band(len(s))
+                        rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), band, bands.cells(s, band), bands.cells(s, band - 1) if band else None, s.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["set_key", "n", "band", "own", "below", "elements"])
 
     # every member of a class has its set: those of the smallest doc_id supply it
-    sets = docs.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_LOG2)).cast("int")).mapInArrow(full, "set_key binary, elements binary")
-    sets = C.materialize(wanted.select("rep", "set_key").join(sets, "set_key").select("rep", "elements").repartition(C.parts(spark), "rep").dropDuplicates(["rep"]), "ngram-elements")
+    spotted = docs.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_LOG2)).cast("int"))
+    sets = spotted.mapInArrow(full, "set_key binary, n bigint, band int, own binary, below binary, elements binary").repartition(C.parts(spark), "set_key").dropDuplicates(["set_key"])
+    sets = C.materialize(wanted.select("rep", "set_key").join(sets, "set_key").select("rep", "n", "band", "own", "below", "elements"), "ngram-elements")
 
-    # A pair's difference is that of its sets' differences from any third set. With one hub for each
-    # group of candidates, only these few elements go to every pair; whole sets move once a class.
-    hubs = connected(pairs, "ngram-hubs")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of which no more cells differ than linked sets' elements may: what fails this isn't linked."""
+        for a_ids, b_ids, n, m, p, q, own, below, other in C.rows_of(batches, "a", "b", "n", "m", "p", "q", "own", "below", "other"):
+            keep = []
+            for i in range(len(a_ids)):
+                mine = own[i] if p[i] == q[i] else below[i]
+                if np.count_nonzero(np.frombuffer(mine, np.uint8) != np.frombuffer(other[i], np.uint8)) <= bands.differ(n[i], m[i]):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for reps, xs, ys in C.rows_of(batches, "node", "x", "y"):
-            sizes, differences = [], []
-            for x, y in zip(xs, ys, strict=True):
-                sizes.append(len(x) // 8)
-                differences.append(b"" if x == y else np.setxor1d(np.frombuffer(x, C.U), np.frombuffer(y, C.U), assume_unique=True).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(differences, pa.binary())], names=["rep", "n", "difference"])
+    one, two = sets.select(F.col("rep").alias("a"), "n", F.col("band").alias("p"), "own", "below"), sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("band").alias("q"), F.col("own").alias("other"))
+    left = C.materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q", "own", "below", "other").mapInArrow(near, "a bigint, b bigint"), "ngram-near")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a_ids, b_ids, n, m, xs, ys in C.rows_of(batches, "a", "b", "n", "m", "x", "y"):
+        for a_ids, b_ids, xs, ys in C.rows_of(batches, "a", "b", "x", "y"):
             keep = []
-            for i, (p, q, x, y) in enumerate(zip(n, m, xs, ys, strict=True)):
-                apart_by = len(np.setxor1d(np.frombuffer(x, C.U), np.frombuffer(y, C.U), assume_unique=True))
-                both = (p + q - apart_by) // 2
-                if 100 * both >= percent * (p + q - both):
+            for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+                x, y = np.frombuffer(x, C.U), np.frombuffer(y, C.U)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    of_hub = sets.select(F.col("rep").alias("root"), F.col("elements").alias("y"))
-    beside = hubs.join(sets.select(F.col("rep").alias("node"), F.col("elements").alias("x")), "node").join(of_hub, "root")  # a large group: AQE splits it
-    differences = C.materialize(beside.select("node", "x", "y").mapInArrow(apart, "rep bigint, n bigint, difference binary"), "ngram-differences")
-    one, two = differences.select(F.col("rep").alias("a"), "n", F.col("difference").alias("x")), differences.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("difference").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    x, y = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
+    ends = left.select("a").union(left.select("b")).distinct()
+    return left.join(x.join(ends, "a", "left_semi"), "a").join(y.join(ends.withColumnRenamed("a", "b"), "b", "left_semi"), "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
