@@ -271,7 +271,9 @@ def parse_netstrings(data: bytes) -> Iterator[tuple[str, str]]:
 
     def one() -> str:
         nonlocal at
-        space = data.index(b" ", at)
+        space = data.find(b" ", at)
+        if space < 0 or not data[at:space].isdigit():
+            raise DataError("a length is missing")
         n = int(data[at:space])
         got = data[space + 1 : space + 1 + n]
         if len(got) < n:
