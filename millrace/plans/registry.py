@@ -911,3 +911,110 @@ def _(spark, sf_dir):
     registry = jobs.Jobs(spark, scratch.folder(spark, "jobs"))
     job = registry.run("events", lambda s: s.range(3))
     return _rows(spark, [(registry.status(job.name), len(registry.matching_events(job.name, "RESULT")) + len(registry.events(job.name, 0)[1][:1]))], "status string, n int")
+
+
+@query("job_08_job_names", values("kind, ok", "('plain', true)", "('slash', false)", "('dot', false)"))
+def _(spark, sf_dir):
+    registry = jobs.Jobs(spark, scratch.folder(spark, "jobs"))
+
+    def fine(prefix):
+        try:
+            return registry.new_name(prefix).startswith(f"{prefix}@")
+        except ValueError:
+            return False
+
+    return _rows(spark, [("plain", fine("count")), ("slash", fine("a/b")), ("dot", fine("a.b"))], "kind string, ok boolean")
+
+
+@query("job_09_status", values("job, status", "('good', 'ready')", "('bad', 'dead')", "('none', 'unknown')"))
+def _(spark, sf_dir):
+    registry = jobs.Jobs(spark, scratch.folder(spark, "jobs"))
+    good = registry.run("good", lambda s: s.range(1)).name
+    try:
+        registry.run("bad", lambda s: s.range(1).selectExpr("raise_error('on purpose')"))
+    except jobs.JobError:
+        pass
+    return _rows(spark, [("good", registry.status(good)), ("bad", registry.status(registry.names()[-1])), ("none", registry.status("none"))], "job string, status string")
+
+
+@query("job_04_profile", values("stage, measured", "('map', true)", "('reduce', true)"))
+def _(spark, sf_dir):
+    registry = jobs.Jobs(spark, scratch.folder(spark, "jobs"))
+    job = registry.run("profile", lambda s: {"map": s.range(3), "reduce": s.range(1)})
+    return _rows(spark, [(k, v > 0) for k, v in job.profile.items()], "stage string, measured boolean")
+
+
+@query("tag_03_delayed_append", values("before, after", "(0, 1)"))
+def _(spark, sf_dir):
+    c = Catalog(spark, scratch.folder(spark, "catalog"))
+    c.tag("t", [["raw://x"]], delayed=True)
+    before = c.newest().count()
+    c.flush()
+    return _rows(spark, [(before, c.newest().count())], "before int, after int")
+
+
+@query("tag_12_pull", values("value", "('one')"))
+def _(spark, sf_dir):
+    return _catalog(spark).pull("c", lambda name: name == "one").select("value")
+
+
+@query("tag_14_tokens", values("who, may_read, may_write", "('nobody', false, false)", "('reader', true, false)", "('writer', true, true)"))
+def _(spark, sf_dir):
+    from millrace.sources.catalog import NoPrivilege
+
+    c = Catalog(spark, scratch.folder(spark, "catalog"))
+    c.tag("t", [["raw://x"]], token="w")
+    c.setattr("t", "sys:read-token", "r", "w")
+
+    def may(call):
+        try:
+            call()
+        except NoPrivilege:
+            return False
+        return True
+
+    return _rows(spark, [(who, may(lambda t=t: c.get("t", t)), may(lambda t=t: c.tag("t", [], token=t))) for who, t in (("nobody", None), ("reader", "r"), ("writer", "w"))], "who string, may_read boolean, may_write boolean")
+
+
+@query("tag_19_names", values("kind, name", "('safe', 'a_b_c')", "('blob', 'q')", "('canonical', 'tag://m/x')", "('relative', 'tag://x')"))
+def _(spark, sf_dir):
+    from millrace.sources import catalog
+
+    return _rows(spark, [("safe", catalog.safe_name("a b/c")), ("blob", catalog.blob_name("http://h/q$1-2")), ("canonical", catalog.canonical("x", "m")), ("relative", catalog.relative("tag://m/x"))], "kind string, name string")
+
+
+@query("tag_21_upload_once", values("writes", "(1)"))
+def _(spark, sf_dir):
+    c, n = Catalog(spark, scratch.folder(spark, "catalog")), 0
+    for _ in range(2):
+        try:
+            c.upload("blob", spark.range(3))
+            n += 1
+        except Exception as e:
+            if "already exists" not in str(e):
+                raise
+    return _rows(spark, [(n,)], "writes int")
+
+
+@query("str_04_log_tail", values("line", "('two')", "('three')"))
+def _(spark, sf_dir):
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w") as f:  # a log on the driver, as a client reads it
+        f.write("one\n")
+        f.flush()
+        at, _ = streams.tail(f.name, 0)
+        f.write("two\nthree\nfou")
+        f.flush()
+        return _rows(spark, [(x,) for x in streams.tail(f.name, at)[1]], "line string")
+
+
+@query("fn_07_by_name", values("value", "(3.0::DOUBLE)"))
+def _(spark, sf_dir):
+    return _rows(spark, [(P.by_dotted_name("math.sqrt")(9),)], "value double")
+
+
+@query("udf_08_params", "SELECT n_nationkey AS k, CAST(n_nationkey + 5 > 10 AS INTEGER) AS v FROM nation")
+def _(spark, sf_dir):
+    params = {"x": 5, "f": lambda a: int(a > 10)}
+    return O.map_python(table(spark, sf_dir, "nation").select("n_nationkey"), lambda r, p: [(r[0], p["f"](r[0] + p["x"]))], "k int, v int", params)

@@ -162,7 +162,7 @@ def test_catalog(spark, tmp_path):
     assert [t for t, _, _ in c.findtags("t")] == ["t", "u"] and len(list(c.walk("t"))) == 2
     c.setattr("t", "a", "1")
     with pytest.raises(ValueError):
-        c.setattr("t", "ddfs:mine", "1")
+        c.setattr("t", "sys:mine", "1")
     assert c.attrs("t") == {"a": "1"}
     c.tag("s", [["raw://x"]], token="secret")
     for call in (lambda: c.get("s"), lambda: c.tag("s", [["raw://y"]]), lambda: c.delete("s", "wrong")):
