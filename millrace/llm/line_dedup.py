@@ -10,8 +10,8 @@ the join links its class with one that begins earlier.
 The join orders a set's words by rarity and keeps prefixes: two sets can only be
 linked if they share a word among their n - ceil(t n) + 1 rarest. Rarity comes from
 2^20 hashed counters over all lines (with the word's hash after it, any order is
-exact as long as it is the same for all sets); a word that is counted once is in
-one line only and is left out. Length and position filters follow, then the
+exact as long as it is the same for all sets); a word that is counted once occurs
+once and is left out. Length and position filters follow, then the
 exact similarity on full sets.
 
 Defined cases: lines end at a line feed; a line without words is kept and matches
@@ -23,7 +23,6 @@ line with one line feed; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,24 +39,12 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> C.U(64 - SLOTS_LOG2)).astype(np.int64)
 
 
-def _line_sets(text: str | None, hashes: C.WordHashes) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, distinct word hashes) of the lines that have words."""
-    if text:
-        for k, line in enumerate(text.encode("utf-8", "surrogatepass").translate(C.LOWER).split(b"\n")):
-            words = line.split()
-            if words:
-                yield k, np.unique(C.mix(hashes(words)))
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, hashes = np.zeros(1 << SLOTS_LOG2, np.int64), C.WordHashes()
     for (texts,) in C.rows_of(batches, "text"):
-        for text in texts:
-            some = [s for _, s in _line_sets(text, hashes)]
-            if some:
-                total += np.bincount(_slots(np.concatenate(some)), minlength=1 << SLOTS_LOG2) if sum(map(len, some)) > 1 << 14 else 0
-                if sum(map(len, some)) <= 1 << 14:
-                    np.add.at(total, _slots(np.concatenate(some)), 1)
+        some = [C.mix(hashes(w)) for w in map(C.ascii_words, texts) if w]
+        if some:
+            total += np.bincount(_slots(np.concatenate(some)), minlength=1 << SLOTS_LOG2)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
@@ -65,6 +52,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINES = "doc_id bigint, h bigint, line int, n int, set_key binary, tokens binary, prefix array<struct<token:bigint,at:int>>"
 
 
+def line_sets(text: str, hashes: C.WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the lines that have words; where each one's elements begin; all lines' distinct word hashes, line by line, ascending."""
+    words = [line.split() for line in text.encode("utf-8", "surrogatepass").translate(C.LOWER).split(b"\n")]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    numbers = np.flatnonzero(lens)
+    h = C.mix(hashes([w for line in words for w in line]))
+    of = np.repeat(np.arange(len(numbers)), lens[numbers])
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    h, of = h[first], of[first]
+    return numbers, np.searchsorted(of, np.arange(len(numbers))), h
+
+
 def _lines(percent: int, counts_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes, seen = counts_b.value, C.WordHashes(), set()
@@ -72,19 +74,32 @@ def _lines(percent: int, counts_b):
         for ids, hs, texts in C.rows_of(batches, "doc_id", "h", "text"):
             rows = []
             for i, h, text in zip(ids, hs, texts, strict=True):
-                for k, s in _line_sets(text, hashes):
-                    key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    tokens = prefix = None
-                    n = len(s)
-                    # a set that can be linked with a larger or smaller one: floor(100 n / p) > n
-                    if key not in seen and 100 * n // percent > n or n * percent <= 100 * (n - 1):
-                        seen.add(key)
-                        c = counts[_slots(s)]
-                        order = np.lexsort((s, c))[: n - (percent * n + 99) // 100 + 1]
-                        kept = [(int(v), at) for at, (v, m) in enumerate(zip(s[order].view(np.int64).tolist(), c[order].tolist(), strict=True)) if m > 1]
-                        if kept:
-                            tokens, prefix = s.tobytes(), [{"token": v, "at": at} for v, at in kept]
-                    rows.append((i, h, k, n, key, tokens, prefix))
+                numbers, starts, sets = line_sets(text, hashes) if text else ([], [], [])
+                if not len(numbers):
+                    continue
+                n = np.diff(np.append(starts, len(sets)))
+                # a set's key: two sums of its elements' mixed hashes
+                key = np.stack([np.add.reduceat(C.mix(sets, 21), starts), np.add.reduceat(C.mix(sets, 22), starts)], 1)
+                keys = key.tobytes()
+                # sets that can be linked with a larger or a smaller one
+                open_ = (100 * n // percent > n) | (n * percent <= 100 * (n - 1))
+                of = np.repeat(np.arange(len(n)), n)
+                c = counts[_slots(sets)]
+                order = np.lexsort((sets, c, of))
+                at = np.arange(len(sets)) - starts[of]
+                keep = (at < (n - (percent * n + 99) // 100 + 1)[of]) & open_[of] & (c[order] > 1)
+                prefixes: dict[int, list] = {}
+                for line, token, place in zip(of[keep].tolist(), sets[order][keep].view(np.int64).tolist(), at[keep].tolist(), strict=True):
+                    prefixes.setdefault(line, []).append({"token": token, "at": place})
+                for k, (number, size) in enumerate(zip(numbers.tolist(), n.tolist(), strict=True)):
+                    set_key, tokens, prefix = keys[16 * k : 16 * k + 16], None, prefixes.get(k)
+                    if prefix:
+                        if set_key in seen:
+                            prefix = None
+                        else:
+                            seen.add(set_key)
+                            tokens = sets[starts[k] : starts[k] + size].tobytes()
+                    rows.append((i, h, number, size, set_key, tokens, prefix))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, t, strict=True)], names=[x.split()[0] for x in _LINES.split(", ")])
 
