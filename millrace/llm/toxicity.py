@@ -4,8 +4,8 @@ Folding undoes disguises: compatibility forms, look-alike letters of other
 scripts, digits and signs that stand for letters, characters of no width; what
 is then no letter or digit parts words. Lexicon entries are beginnings of words
 (3 to 12 characters), learned from labelled rows: chosen greedily so that each adds
-toxic rows which the others miss and is rare in clean ones, and weighted by
-smoothed log-odds. Exception phrases are pairs of neighbouring words around an
+toxic rows which too few of the others cover and is rare in clean ones, and weighted
+by smoothed log-odds. Exception phrases are pairs of neighbouring words around an
 entry that only clean rows hold; a match inside one doesn't count. The sum of the
 matched weights, as such and by the text's length, goes through a logistic
 function fitted to the same rows.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TRAIN_ROWS, FOLDS, SHORTEST, LONGEST, LEAST_GAIN, MOST_ENTRIES, MOST_PHRASES = 8000, 5, 3, 12, 3, 2000, 1000
+TRAIN_ROWS, FOLDS, SHORTEST, LONGEST, LEAST_GAIN, MOST_ENTRIES, MOST_PHRASES, COVERS = 4000, 5, 3, 12, 3, 2000, 1000, 4
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _LOOKALIKE = dict(zip("авсԁеёһіјӏкмнорԛгѕтυυѵԝхуαβγεηικνορτυωχ" + "ı" + "ɑɡ", "abcdeehijlkmhopqrstuuvwxyabyenikvoptuwx" + "i" + "ag", strict=True))
 _DIGITS = dict(zip("013457@", "oieasta", strict=True))
@@ -122,34 +122,40 @@ def beginnings(text: str | None) -> set[str]:
     return out
 
 
-def _cover(toxic: list[set[str]], clean: dict[str, int], n_clean: int) -> dict[str, float]:
+def _cover(rows: dict[str, set[int]], clean: dict[str, int], n_toxic: int, n_clean: int, least: int) -> dict[str, float]:
     """Entries, greedily by the toxic rows that they add, and their weights."""
-    rows: dict[str, set[int]] = defaultdict(set)
-    for i, s in enumerate(toxic):
-        for f in s:
-            rows[f].add(i)
 
     def weight(f: str) -> float:
-        return math.log((len(rows[f]) + 0.5) / (len(toxic) + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
+        return math.log((len(rows[f]) + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
 
-    fit = {f: r for f, r in rows.items() if len(r) >= LEAST_GAIN and clean.get(f, 0) * 8 * len(toxic) <= len(r) * n_clean and clean.get(f, 0) <= len(r)}
     import heapq
 
-    key = lambda f, gain: (-(gain * weight(f)), -len(f), f)
-    heap = [(*key(f, len(r)), len(r)) for f, r in fit.items()]
-    heapq.heapify(heap)
-    done: set[int] = set()
+    # every row is to hold COVERS entries, as a single one may be what another text lacks; beginnings of one
+    # another count as one entry, and one that only adds to covered rows needs more of them
+    seen: Counter[int] = Counter()
     out: dict[str, float] = {}
+    more = max(least + 2, n_toxic // 100)
+
+    def gain(f: str) -> int:
+        fresh = sum(not seen[i] for i in rows[f])
+        if fresh >= least or any(f.startswith(e) or e.startswith(f) for e in out):
+            return fresh
+        also = sum(seen[i] < COVERS for i in rows[f])
+        return also if also >= more else 0
+
+    key = lambda f, n: (-(n * weight(f) ** 2), -len(f), f)
+    heap = [(*key(f, len(r)), len(r)) for f, r in rows.items()]
+    heapq.heapify(heap)
     while heap and len(out) < MOST_ENTRIES:
-        _, _, f, gain = heapq.heappop(heap)
-        now = len(fit[f] - done)
-        if now < LEAST_GAIN:
+        _, _, f, before = heapq.heappop(heap)
+        now = gain(f)
+        if now < least:
             continue
-        if now < gain:
+        if now < before:
             heapq.heappush(heap, (*key(f, now), now))
             continue
         out[f] = weight(f)
-        done |= fit[f]
+        seen.update(rows[f])
     return out
 
 
@@ -184,21 +190,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not n_toxic or not n_clean:
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.25
         return Model(bias=math.log(share / (1 - share)))
-    toxic = [beginnings(r["text"]) for r in sample.filter("toxic = 1").toLocalIterator()]
-    often = Counter(f for s in toxic for f in s)
-    wanted = spark.sparkContext.broadcast({f for f, k in often.items() if k >= LEAST_GAIN})
+    spread = sample.repartition(C.parts(spark))
+    least = max(LEAST_GAIN, n_toxic // 1000)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[str] = Counter()
+    def count(wanted):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c: Counter[str] = Counter()
+            for (some_texts,) in C.rows_of(batches, "text"):
+                for t in some_texts:
+                    c.update(beginnings(t) & wanted.value if wanted else beginnings(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["entry", "n"])
+
+        return run
+
+    def counted(toxic: int, wanted=None) -> DataFrame:
+        return spread.filter(F.col("toxic") == toxic).select("text").mapInArrow(count(wanted), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
+
+    # the sample bounds what comes here: beginnings that several of its rows share
+    often = {r["entry"]: r["n"] for r in counted(1).filter(F.col("n") >= least).toLocalIterator()}
+    clean = {r["entry"]: r["n"] for r in counted(0, spark.sparkContext.broadcast(set(often))).toLocalIterator()}
+    fit = {f for f, k in often.items() if clean.get(f, 0) * 8 * n_toxic <= k * n_clean and clean.get(f, 0) <= k}
+    some_fit = spark.sparkContext.broadcast(fit)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (some_texts,) in C.rows_of(batches, "text"):
-            for t in some_texts:
-                c.update(beginnings(t) & wanted.value)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["entry", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(beginnings(t) & some_fit.value) for t in some_texts], pa.list_(pa.string()))], names=["entries"])
 
-    spread = sample.repartition(C.parts(spark))
-    counted = spread.filter("toxic = 0").select("text").mapInArrow(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
-    clean = {r["entry"]: r["n"] for r in counted.toLocalIterator()}
-    model = Model(weights=_cover([{f for f in s if often[f] >= LEAST_GAIN} for s in toxic], clean, n_clean))
+    rows_of_entry: dict[str, set[int]] = defaultdict(set)
+    for k, r in enumerate(spread.filter("toxic = 1").select("text").mapInArrow(hold, "entries array<string>").toLocalIterator()):
+        for f in r["entries"]:
+            rows_of_entry[f].add(k)
+    model = Model(weights=_cover(rows_of_entry, clean, n_toxic, n_clean, least))
     model.exceptions = _phrases(spread, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
