@@ -167,7 +167,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
 _SYLLABLES = "an ar be co da de el en er es fa ga in ka la le lo ma mi na ne on or pa ra re ri sa se ta te ti to un va we xo yu zi".split()
 
 
-def training_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int]]]:
+def training_pages(count: int = 900, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages in random layouts, each with the label of every leaf block (1: main text)."""
     r = random.Random(seed)
 
@@ -258,6 +258,8 @@ def training_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
 
     def main() -> list:
         body = para(1, r.choice([sentence(2, 12), phrase()]), "h1") if r.random() < 0.85 else []
+        if body and r.random() < 0.15:
+            body = wrap("header", r.choice(["", "", "post-header", "entry-header"]), body + (para(0, f"By {phrase()}") if r.random() < 0.5 else []))
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 15, 25])):
             k = r.random()
             if k < 0.8:
@@ -277,6 +279,8 @@ def training_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
         if r.random() < 0.15:
             body = wrap("section", "", body)
         kind = r.random()
+        if kind < 0.16:
+            return body  # nothing around it
         if kind < 0.55:
             return wrap("article", r.choice(["", "", "", "post", "story", "entry"]), body)
         if kind < 0.7:
