@@ -16,8 +16,15 @@ import unicodedata
 
 import numpy as np
 
-#: What lower-casing and NFC treat alike here and in the library, and str.split as its white space does.
-_OTHER = re.compile("[^\x00-\x1b\x20-\u017f]|\u0130|<\\|")
+#: A lower-cased word with other characters, or an opening of special tokens, is left to the library.
+_OTHER = re.compile("[^\x00-\u017f]|<\\|")
+#: str.split parts words at these, the library doesn't.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+class _Unknown(Exception):
+    """A word whose text the library has to encode as a whole."""
+
 
 
 def _class(kind: str) -> str:
@@ -48,6 +55,8 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
+            if _OTHER.search(word):
+                raise _Unknown
             pieces = _PIECE.findall(word)
             if len(pieces) == 1:
                 ids = [x.id for x in self.tokenize(word.encode().decode("latin1").translate(_BYTES))]
@@ -76,6 +85,9 @@ class Encoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _OTHER.search(text):
-            return self._library(text)
-        return b"".join(map(self.memo.__getitem__, text.lower().split()))
+        try:
+            if not any(c in text for c in _SEPARATORS):
+                return b"".join(map(self.memo.__getitem__, text.lower().split()))
+        except _Unknown:
+            pass
+        return self._library(text)
