@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, SAMPLE, SHARD_CHARS, BLOCK_WORDS = 10, 8, 16_000_000, 2_000_000
+WINDOW, SAMPLE, SHARD_CHARS, BLOCK_WORDS = 10, 8, 16_000_000, 500_000
 _NOT_WORD = bytes(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz") - set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 _TABLE = bytes(0x20 if b in _NOT_WORD else C.LOWER[b] for b in range(256))
 _WORD = re.compile("[^\x00-/:-`{-\x7f]+")  # on lower-cased text

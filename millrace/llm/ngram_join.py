@@ -228,8 +228,8 @@ def links(docs: DataFrame, percent: int = 90, k: int = 5) -> tuple[DataFrame, Da
     own = ready.select(F.explode(F.expr("concat(flatten(schemes.keys), flatten(schemes.deleted))")).alias("key"))
     slot = F.shiftrightunsigned("key", 64 - SLOTS_LOG2)
     counts = np.ones(1 << SLOTS_LOG2, np.float64)
-    for r in own.groupBy(slot.alias("slot")).count().filter("count > 8").toLocalIterator():  # at most 2^20 rows
-        counts[r["slot"]] = r["count"]
+    often = own.groupBy(slot.alias("slot")).count().filter("count > 8").toArrow()  # at most 2^20 rows
+    counts[often.column("slot").to_numpy()] = often.column("count").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
     rows = ready.mapInArrow(_rows(percent, shared), "key bigint, probe boolean, indexed boolean, uid bigint, n bigint")
     rows = rows.repartition(C.parts(spark), "key")
@@ -245,8 +245,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     wanted = C.materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes, "rep").select("rep", "set_key", "low_id"), "ngram-wanted")
     spots = wanted.select(F.pmod(F.xxhash64("low_id"), F.lit(1 << BITMAP_LOG2)).alias("spot")).distinct()
     bitmap = np.zeros(1 << BITMAP_LOG2, bool)
-    for r in spots.toLocalIterator():  # at most 2^22 rows; it only spares work: other rows fall to the join
-        bitmap[r["spot"]] = True
+    bitmap[spots.toArrow().column("spot").to_numpy()] = True  # at most 2^22 rows; it only spares work: other rows fall to the join
     shared = spark.sparkContext.broadcast(np.packbits(bitmap))
 
     bands = Bands(percent)
@@ -330,8 +329,7 @@ def keep_one(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
     acts = C.materialize(rows.filter(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays")), "ngram-acts")
     spot = F.pmod(F.xxhash64("__id", "__h"), F.lit(1 << BITMAP_LOG2)).cast("int")
     bitmap = np.zeros(1 << BITMAP_LOG2, bool)
-    for r in acts.select(spot.alias("spot")).distinct().toLocalIterator():  # at most 2^22 rows
-        bitmap[r["spot"]] = True
+    bitmap[acts.select(spot.alias("spot")).distinct().toArrow().column("spot").to_numpy()] = True  # at most 2^22 rows
     shared = spark.sparkContext.broadcast(np.packbits(bitmap))
 
     @F.pandas_udf("boolean")
