@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,30 +74,52 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def hash64(data: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(data)
-
-
-class WordHashes:
+class WordHashes(dict):
     """Memo of 64-bit word hashes; emptied when it is full, which only costs time."""
 
-    def __init__(self, most: int = 300_000):
-        self.memo: dict[bytes, int] = {}
+    def __init__(self, most: int = 400_000):
+        super().__init__()
         self.most = most
 
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        try:
-            return np.fromiter(map(memo.__getitem__, words), U, len(words))
-        except KeyError:
-            for w in set(words):
-                if w not in memo:
-                    memo[w] = hash64(w)
-            return np.fromiter(map(memo.__getitem__, words), U, len(words))
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), U, len(words))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, U), np.full(size, b, U)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def words_by_line(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased (A-Z) words of the texts, in order, the line of each, counted over
+    all texts, and each text's first line. No word becomes an object: a word's hash is a difference
+    of running sums of its bytes times powers, moved to the word's start, mixed with its length."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    a = np.frombuffer(b"\n".join(raw).translate(LOWER), np.uint8)
+    lines = np.cumsum([0, *[r.count(b"\n") + 1 for r in raw[:-1]]]) if raw else np.zeros(0, np.int64)
+    if not len(a):
+        return np.empty(0, U), np.empty(0, np.int64), lines
+    space = np.concatenate(([True], _SPACES[a], [True]))
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    up, down = _power_tables(len(a))
+    total = np.concatenate((np.zeros(1, U), np.cumsum((a.astype(U) + U(1)) * up[: len(a)], dtype=U)))
+    h = (total[end] - total[start]) * down[start]
+    line = np.cumsum(a == 10)[start]
+    return mix(h ^ ((end - start).astype(U) * U(_BASE))), line, lines
 
 
 _MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

@@ -10,9 +10,8 @@ the join links its class with one that begins earlier.
 The join orders a set's words by rarity and keeps prefixes: two sets can only be
 linked if they share a word among their n - ceil(t n) + 1 rarest. Rarity comes from
 2^20 hashed counters over all lines (with the word's hash after it, any order is
-exact as long as it is the same for all sets); a word that is counted once occurs
-once and is left out. Length and position filters follow, then the
-exact similarity on full sets.
+exact as long as it is the same for all sets). Length and position filters follow,
+then the exact similarity on full sets.
 
 Defined cases: lines end at a line feed; a line without words is kept and matches
 nothing; null and empty texts have no lines; rows equal in doc_id and text are
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PERCENT, SLOTS_LOG2 = 90, 20
+PERCENT, SLOTS_LOG2, BITMAP_LOG2 = 90, 20, 22
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -40,115 +39,140 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, hashes = np.zeros(1 << SLOTS_LOG2, np.int64), C.WordHashes()
+    total = np.zeros(1 << SLOTS_LOG2, np.int64)
     for (texts,) in C.rows_of(batches, "text"):
-        some = [C.mix(hashes(w)) for w in map(C.ascii_words, texts) if w]
-        if some:
-            total += np.bincount(_slots(np.concatenate(some)), minlength=1 << SLOTS_LOG2)
+        total += np.bincount(_slots(C.words_by_line(texts)[0]), minlength=1 << SLOTS_LOG2)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
 
-_LINES = "doc_id bigint, h bigint, line int, n int, set_key binary, tokens binary, prefix array<struct<token:bigint,at:int>>"
+class LineSets:
+    """The sets of all lines with words of some texts: elements line by line, ascending."""
 
+    def __init__(self, texts: list[str | None]):
+        h, line, first_lines = C.words_by_line(texts)
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.elements, line = h[new], line[new]
+        self.starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+        lines = line[self.starts]
+        self.sizes = np.diff(np.append(self.starts, len(line)))
+        self.text = np.searchsorted(first_lines, lines, "right") - 1
+        self.number = lines - first_lines[self.text] if len(lines) else lines
+        # a set's key: two sums of its elements' mixed hashes, 128 bits together
+        self.keys = [np.add.reduceat(C.mix(self.elements, salt), self.starts).view(np.int64) if len(lines) else np.zeros(0, np.int64) for salt in (21, 22)]
 
-def line_sets(text: str, hashes: C.WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the lines that have words; where each one's elements begin; all lines' distinct word hashes, line by line, ascending."""
-    words = [line.split() for line in text.encode("utf-8", "surrogatepass").translate(C.LOWER).split(b"\n")]
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    numbers = np.flatnonzero(lens)
-    h = C.mix(hashes([w for line in words for w in line]))
-    of = np.repeat(np.arange(len(numbers)), lens[numbers])
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[first], of[first]
-    return numbers, np.searchsorted(of, np.arange(len(numbers))), h
+
+_LINES = "uid bigint, doc_id bigint, h bigint, line int, n int, k1 bigint, k2 bigint, prefix array<bigint>, places array<int>"
 
 
 def _lines(percent: int, counts_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes, seen = counts_b.value, C.WordHashes(), set()
-        t = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32())]))]
-        for ids, hs, texts in C.rows_of(batches, "doc_id", "h", "text"):
-            rows = []
-            for i, h, text in zip(ids, hs, texts, strict=True):
-                numbers, starts, sets = line_sets(text, hashes) if text else ([], [], [])
-                if not len(numbers):
-                    continue
-                n = np.diff(np.append(starts, len(sets)))
-                # a set's key: two sums of its elements' mixed hashes
-                key = np.stack([np.add.reduceat(C.mix(sets, 21), starts), np.add.reduceat(C.mix(sets, 22), starts)], 1)
-                keys = key.tobytes()
-                # sets that can be linked with a larger or a smaller one
-                open_ = (100 * n // percent > n) | (n * percent <= 100 * (n - 1))
-                of = np.repeat(np.arange(len(n)), n)
-                c = counts[_slots(sets)]
-                order = np.lexsort((sets, c, of))
-                at = np.arange(len(sets)) - starts[of]
-                keep = (at < (n - (percent * n + 99) // 100 + 1)[of]) & open_[of] & (c[order] > 1)
-                prefixes: dict[int, list] = {}
-                for line, token, place in zip(of[keep].tolist(), sets[order][keep].view(np.int64).tolist(), at[keep].tolist(), strict=True):
-                    prefixes.setdefault(line, []).append({"token": token, "at": place})
-                for k, (number, size) in enumerate(zip(numbers.tolist(), n.tolist(), strict=True)):
-                    set_key, tokens, prefix = keys[16 * k : 16 * k + 16], None, prefixes.get(k)
-                    if prefix:
-                        if set_key in seen:
-                            prefix = None
-                        else:
-                            seen.add(set_key)
-                            tokens = sets[starts[k] : starts[k] + size].tobytes()
-                    rows.append((i, h, number, size, set_key, tokens, prefix))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, t, strict=True)], names=[x.split()[0] for x in _LINES.split(", ")])
+        from pyspark import TaskContext
+
+        uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        counts = counts_b.value
+        for b in batches:
+            s = LineSets(b.column(2).to_pylist())
+            n, count = s.sizes, len(s.sizes)
+            # sets that can be linked with a larger or a smaller one have a prefix
+            open_ = (100 * n // percent > n) | (n * percent <= 100 * (n - 1))
+            of = np.repeat(np.arange(count), n)
+            order = np.lexsort((s.elements, counts[_slots(s.elements)], of))
+            at = np.arange(len(of)) - np.repeat(s.starts, n)
+            keep = (at < (n - (percent * n + 99) // 100 + 1)[of]) & open_[of]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[keep], minlength=count)))).astype(np.int32))
+            row = pa.array(s.text)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(uid + np.arange(count)), b.column(0).take(row), b.column(1).take(row), pa.array(s.number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(s.keys[0]), pa.array(s.keys[1]),
+                    pa.ListArray.from_arrays(offsets, pa.array(s.elements[order][keep].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int32))),
+                ],
+                names=["uid", "doc_id", "h", "line", "n", "k1", "k2", "prefix", "places"],
+            )
+            uid += count
 
     return run
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All lines with words (doc_id, h, line, removed), and the linked pairs of classes (a, b: set keys)."""
+    """All lines with words (doc_id, h, line, removed), and the linked pairs of classes (a, b: uids of lines that stand for them)."""
     spark = docs.sparkSession
     C.prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
     counts = np.zeros(1 << SLOTS_LOG2, np.int64)
-    for r in docs.select("text").mapInArrow(_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2^20 rows
-        counts[r["slot"]] = r["n"]
+    told = docs.select("text").mapInArrow(_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 rows
+    counts[told.column("slot").to_numpy()] = told.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
     lines = C.materialize(docs.mapInArrow(_lines(percent, shared), _LINES), "lines")
     place = F.struct("doc_id", "h", "line")
-    classes = C.materialize(lines.groupBy("set_key").agg(F.min(place).alias("first"), F.count("*").alias("members")), "line-classes")
-    sets = C.materialize(lines.filter("prefix is not null").select("set_key", "n", "tokens", "prefix").repartition(C.parts(spark), "set_key").dropDuplicates(["set_key"]), "line-sets")
-    heads = sets.select("set_key", "n", F.explode("prefix").alias("p")).select("set_key", "n", F.col("p.token").alias("token"), F.col("p.at").alias("at")).repartition(C.parts(spark), "token")
+    # a class is stood for by the line of its least uid; first is where it begins
+    classes = C.materialize(lines.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(place).alias("first")), "line-classes")
+    reps = classes.select(F.col("rep").alias("uid"))
+    sets = lines.filter("size(prefix) > 0").select("uid", "n", "prefix", "places").join(reps, "uid", "left_semi")
+    heads = sets.select("uid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("uid", "n", F.col("p.prefix").alias("token"), F.col("p.places").alias("at")).repartition(C.parts(spark), "token")
     x, y = heads.alias("x"), heads.alias("y")
     # least overlap of a linked pair: t / (1 + t) of both sizes; what follows the shared word must suffice for it
     need = F.expr(f"cast(ceil({percent} * cast(x.n + y.n as bigint) / {100 + percent}) as bigint)")
     near = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & ((F.col("y.n") > F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("x.set_key") < F.col("y.set_key"))) & (F.col("y.n") * percent <= F.col("x.n") * 100) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need),
+        (F.col("x.token") == F.col("y.token")) & ((F.col("y.n") > F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("x.uid") < F.col("y.uid"))) & (F.col("y.n") * percent <= F.col("x.n") * 100) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need),
     )
-    pairs = near.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
+    pairs = C.materialize(near.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "line-pairs")
+    links = C.materialize(_verified(docs, lines, pairs, percent), "line-links")
+    ends = links.union(links.select("b", "a"))
+    firsts = classes.select("rep", "first")
+    earlier = ends.join(firsts.select(F.col("rep").alias("a"), F.col("first").alias("mine")), "a").join(firsts.select(F.col("rep").alias("b"), F.col("first").alias("other")), "b").filter("other < mine").select(F.col("a").alias("rep")).distinct()
+    # kept: the first line of each class that no similar class precedes; only classes of several lines or with such a one need a look
+    keep = firsts.join(earlier, "rep", "left_anti").select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), F.lit(True).alias("kept")).alias("k")
+    marks = lines.select("doc_id", "h", "line").alias("l").join(keep, F.col("l.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("l.h") == F.col("k.h")) & (F.col("l.line") == F.col("k.line")), "left")
+    return marks.select("l.doc_id", "l.h", "l.line", F.col("kept").isNull().alias("removed")), links
+
+
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets meet the threshold; only the lines concerned are read again."""
+    spark = docs.sparkSession
+    wanted = C.materialize(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(lines.select("uid", "doc_id", "h", "k1", "k2"), "uid"), "line-wanted")
+
+    def bitmap(spot) -> np.ndarray:
+        """Marks by hash, at most 2^22: they only spare work, what they let through falls to the join."""
+        bits = np.zeros(1 << BITMAP_LOG2, bool)
+        bits[wanted.select(spot.alias("spot")).distinct().toArrow().column("spot").to_numpy()] = True
+        return np.packbits(bits)
+
+    most = (1 << BITMAP_LOG2) - 1
+    of_doc = F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << BITMAP_LOG2)).cast("int")
+    by_doc, by_set = spark.sparkContext.broadcast(bitmap(of_doc)), spark.sparkContext.broadcast(bitmap(F.col("k1").bitwiseAND(F.lit(most)).cast("int")))
+
+    def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(has(by_doc.value, b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))))
+            s = LineSets(b.column(0).to_pylist())
+            use = np.flatnonzero(has(by_set.value, s.keys[0] & most)) if len(s.sizes) else np.zeros(0, np.int64)
+            ends = s.starts + s.sizes
+            rows = [s.elements[s.starts[k] : ends[k]].tobytes() for k in use.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(s.keys[0][use]), pa.array(s.keys[1][use]), pa.array(rows, pa.binary())], names=["k1", "k2", "elements"])
+
+    found = docs.select("text", of_doc.alias("spot")).mapInArrow(full, "k1 bigint, k2 bigint, elements binary").repartition(C.parts(spark), "k1", "k2").dropDuplicates(["k1", "k2"])
+    sets = C.materialize(wanted.select("uid", "k1", "k2").join(found, ["k1", "k2"]).select("uid", "elements"), "line-elements")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a_keys, b_keys, xs, ys in C.rows_of(batches, "a", "b", "s", "t"):
+        for a_ids, b_ids, xs, ys in C.rows_of(batches, "a", "b", "s", "t"):
             keep = []
             for i, (s, t) in enumerate(zip(xs, ys, strict=True)):
                 n, m = len(s) // 8, len(t) // 8
                 both = n + m - len(np.union1d(np.frombuffer(s, C.U), np.frombuffer(t, C.U)))
                 if 100 * both >= percent * (n + m - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a_keys[i] for i in keep], pa.binary()), pa.array([b_keys[i] for i in keep], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    s, t = sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("set_key").alias("b"), F.col("tokens").alias("t"))
-    links = C.materialize(pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(check, "a binary, b binary"), "line-links")
-    ends = links.union(links.select("b", "a"))
-    firsts = classes.select("set_key", "first")
-    earlier = ends.join(firsts.select(F.col("set_key").alias("a"), F.col("first").alias("mine")), "a").join(firsts.select(F.col("set_key").alias("b"), F.col("first").alias("other")), "b").filter("other < mine").select("mine").distinct()
-    # removed: every line but its class's first, and those first lines that a similar class precedes
-    keep = firsts.select("first").join(earlier, F.col("first") == F.col("mine"), "left_anti").select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"))
-    kept = keep.withColumn("kept", F.lit(True)).alias("k")
-    marks = lines.select("doc_id", "h", "line").alias("l").join(kept, F.col("l.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("l.h") == F.col("k.h")) & (F.col("l.line") == F.col("k.line")), "left")
-    return marks.select("l.doc_id", "l.h", "l.line", F.col("kept").isNull().alias("removed")), links
+    one, two = sets.select(F.col("uid").alias("a"), F.col("elements").alias("s")), sets.select(F.col("uid").alias("b"), F.col("elements").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(check, "a bigint, b bigint")
 
 
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
