@@ -143,7 +143,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
     placed = docs.withColumn("place", F.explode(places("doc_id", "h")))
     placed = placed.withColumn("tail", F.col("place") < 0).withColumn("bucket", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")))
-    ranged = placed.select("doc_id", "text", "h", "tail", "bucket").repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "h")
+    ranged = placed.select("doc_id", "text", "h", "tail", "bucket").repartitionById(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = C.WordHashes()
