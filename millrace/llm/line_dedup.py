@@ -11,7 +11,8 @@ The join orders a set's words by rarity and keeps prefixes: two sets can only be
 linked if they share a word among their n - ceil(t n) + 1 rarest. Rarity comes from
 2^20 hashed counters over all lines (with the word's hash after it, any order is
 exact as long as it is the same for all sets). Length and position filters follow,
-then the exact similarity on full sets.
+and one of parities (64 cells of the universe, each with the parity of its elements:
+no more cells than elements can differ), then the exact similarity on full sets.
 
 Defined cases: lines end at a line feed; a line without words is kept and matches
 nothing; null and empty texts have no lines; rows equal in doc_id and text are
@@ -63,9 +64,11 @@ class LineSets:
         self.number = lines - first_lines[self.text] if len(lines) else lines
         # a set's key: two sums of its elements' mixed hashes, 128 bits together
         self.keys = [np.add.reduceat(C.mix(self.elements, salt), self.starts).view(np.int64) if len(lines) else np.zeros(0, np.int64) for salt in (21, 22)]
+        # parities of 64 cells: sets that differ in d elements differ in at most d of them
+        self.parities = np.bitwise_xor.reduceat(C.U(1) << (C.mix(self.elements, 23) >> C.U(58)), self.starts).view(np.int64) if len(lines) else np.zeros(0, np.int64)
 
 
-_LINES = "uid bigint, doc_id bigint, h bigint, line int, n int, k1 bigint, k2 bigint, prefix array<bigint>, places array<int>"
+_LINES = "uid bigint, doc_id bigint, h bigint, line int, n int, k1 bigint, k2 bigint, parities bigint, prefix array<bigint>, places array<int>"
 
 
 def _lines(percent: int, counts_b):
@@ -87,10 +90,10 @@ def _lines(percent: int, counts_b):
             row = pa.array(s.text)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uid + np.arange(count)), b.column(0).take(row), b.column(1).take(row), pa.array(s.number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(s.keys[0]), pa.array(s.keys[1]),
+                    pa.array(uid + np.arange(count)), b.column(0).take(row), b.column(1).take(row), pa.array(s.number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(s.keys[0]), pa.array(s.keys[1]), pa.array(s.parities),
                     pa.ListArray.from_arrays(offsets, pa.array(s.elements[order][keep].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int32))),
                 ],
-                names=["uid", "doc_id", "h", "line", "n", "k1", "k2", "prefix", "places"],
+                names=["uid", "doc_id", "h", "line", "n", "k1", "k2", "parities", "prefix", "places"],
             )
             uid += count
 
@@ -111,14 +114,14 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     # a class is stood for by the line of its least uid; first is where it begins
     classes = C.materialize(lines.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(place).alias("first")), "line-classes")
     reps = classes.select(F.col("rep").alias("uid"))
-    sets = lines.filter("size(prefix) > 0").select("uid", "n", "prefix", "places").join(reps, "uid", "left_semi")
-    heads = sets.select("uid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("uid", "n", F.col("p.prefix").alias("token"), F.col("p.places").alias("at")).repartition(C.parts(spark), "token")
+    sets = lines.filter("size(prefix) > 0").select("uid", "n", "parities", "prefix", "places").join(reps, "uid", "left_semi")
+    heads = sets.select("uid", "n", "parities", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("uid", "n", "parities", F.col("p.prefix").alias("token"), F.col("p.places").alias("at")).repartition(C.parts(spark), "token")
     x, y = heads.alias("x"), heads.alias("y")
     # least overlap of a linked pair: t / (1 + t) of both sizes; what follows the shared word must suffice for it
     need = F.expr(f"cast(ceil({percent} * cast(x.n + y.n as bigint) / {100 + percent}) as bigint)")
     near = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & ((F.col("y.n") > F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("x.uid") < F.col("y.uid"))) & (F.col("y.n") * percent <= F.col("x.n") * 100) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need),
+        (F.col("x.token") == F.col("y.token")) & (F.bit_count(F.col("x.parities").bitwiseXOR(F.col("y.parities"))) <= F.col("x.n") + F.col("y.n") - 2 * need) & ((F.col("y.n") > F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("x.uid") < F.col("y.uid"))) & (F.col("y.n") * percent <= F.col("x.n") * 100) & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need),
     )
     pairs = C.materialize(near.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "line-pairs")
     links = C.materialize(_verified(docs, lines, pairs, percent), "line-links")
