@@ -101,7 +101,7 @@ def _lines(percent: int, counts_b):
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All lines with words (doc_id, h, line, removed), and the linked pairs of classes (a, b: uids of lines that stand for them)."""
+    """The removed lines (doc_id, h, line), some more than once, and the linked pairs of classes (a, b: uids of lines that stand for them)."""
     spark = docs.sparkSession
     C.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
@@ -112,7 +112,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     lines = C.materialize(docs.mapInArrow(_lines(percent, shared), _LINES), "lines")
     place = F.struct("doc_id", "h", "line")
     # a class is stood for by the line of its least uid; first is where it begins
-    classes = C.materialize(lines.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(place).alias("first")), "line-classes")
+    classes = C.materialize(lines.groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min(place).alias("first"), F.count("*").alias("members")), "line-classes")
     reps = classes.select(F.col("rep").alias("uid"))
     sets = lines.filter("size(prefix) > 0").select("uid", "n", "parities", "prefix", "places").join(reps, "uid", "left_semi")
     heads = sets.select("uid", "n", "parities", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("uid", "n", "parities", F.col("p.prefix").alias("token"), F.col("p.places").alias("at")).repartition(C.parts(spark), "token")
@@ -128,10 +128,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     ends = links.union(links.select("b", "a"))
     firsts = classes.select("rep", "first")
     earlier = ends.join(firsts.select(F.col("rep").alias("a"), F.col("first").alias("mine")), "a").join(firsts.select(F.col("rep").alias("b"), F.col("first").alias("other")), "b").filter("other < mine").select(F.col("a").alias("rep")).distinct()
-    # kept: the first line of each class that no similar class precedes; only classes of several lines or with such a one need a look
-    keep = firsts.join(earlier, "rep", "left_anti").select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), F.lit(True).alias("kept")).alias("k")
-    marks = lines.select("doc_id", "h", "line").alias("l").join(keep, F.col("l.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("l.h") == F.col("k.h")) & (F.col("l.line") == F.col("k.line")), "left")
-    return marks.select("l.doc_id", "l.h", "l.line", F.col("kept").isNull().alias("removed")), links
+    # removed: in classes of several lines all but the first, and first lines that a similar class precedes
+    several = classes.filter("members > 1").select("k1", "k2", "first")  # a class of very many lines: AQE splits its side of the join
+    copies = lines.select("k1", "k2", place.alias("at")).join(several, ["k1", "k2"]).filter("at != first").select("at.*")
+    preceded = firsts.join(earlier, "rep", "left_semi").select("first.*")
+    return copies.union(preceded), links
 
 
 def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -180,8 +181,7 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int)
 
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_lines (all), n_removed, removed_lines (their numbers from 0, ascending)."""
-    marks, _ = removed_lines(docs, percent)
-    gone = marks.filter("removed").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
+    gone = removed_lines(docs, percent)[0].groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
     sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.when(F.length("text") > 0, F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0).cast("bigint").alias("n_lines"))
     out = sizes.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.h") == F.col("g.h")), "left")
     return out.select("d.doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
@@ -189,7 +189,7 @@ def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the removed lines cut out of their texts; all rows and columns stay."""
-    gone = removed_lines(docs, percent)[0].filter("removed").groupBy("doc_id", "h").agg(F.collect_set("line").alias("__gone"))
+    gone = removed_lines(docs, percent)[0].groupBy("doc_id", "h").agg(F.collect_set("line").alias("__gone"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     held = held.withColumn("__id", F.col("__row.doc_id").cast("bigint")).withColumn("__h", F.xxhash64(F.col("__row.text").cast("string")))
     both = held.join(gone, F.col("__id").eqNullSafe(gone["doc_id"]) & (F.col("__h") == gone["h"]), "left")
