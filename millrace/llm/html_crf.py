@@ -7,8 +7,10 @@ two-state chain, trained on the labelled pages of ``training_pages`` (built here
 in many layouts), is decoded by Viterbi; what it calls main is the text.
 
 Character references are decoded and white space inside a block becomes one
-space; blocks are joined in page order by a line feed. Comments, scripts, styles
-and other raw elements hold no text. Nothing is cut off or capped.
+space; blocks are joined in page order by a line feed. Comments, scripts, styles,
+drawings (svg) and what else ``_RAW`` names hold no text; math and noscript are
+part of the text around them, without the source note of a formula; xmp is text as
+it stands. Nothing else is cut off or capped.
 
 Defined cases: a null or empty page, and one without text, gives an empty text;
 unclosed and crossing tags close with an enclosing element or the page; a tag
@@ -31,11 +33,21 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "math", "canvas", "object", "xmp")
+_RAW = ("script", "style", "textarea", "title", "template", "iframe", "canvas", "object")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br label".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br label noscript".split()) | frozenset(
+    "math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
+#: Tags at which HTML leaves an svg whose end tag is missing (or a foreignObject with HTML in it).
+_LEAVES_SVG = "address article aside b big blockquote body br center code dd details div dl dt em embed fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html i img li main menu nav ol p pre ruby s section small span strike strong sub sup table td th tr tt u ul var".split()
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
+    rf"|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>"
+    rf"|<svg(?=[\s/>]){_ATTRS}>.*?(?:</svg(?:[\s/][^>]*)?>|(?=</?(?:{'|'.join(_LEAVES_SVG)})[\s/>])|\Z)"
+    rf"|<(?P<raw>{'|'.join(_RAW)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?:[\s/][^>]*)?>|\Z)"
+    rf"|<xmp(?=[\s/>]){_ATTRS}>(?P<xmp>.*?)(?:</xmp(?:[\s/][^>]*)?>|\Z)"
+    rf"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -73,7 +85,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         linked[1] = 0
 
     def say(s: str) -> None:
-        if s:
+        if s and not (stack and stack[-1][0] == "annotation" and any(tag == "math" for tag, _ in stack)):
             held.append(s)
             if linked[0]:
                 linked[1] += len(s)
@@ -87,6 +99,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag is None:
             if m["cdata"]:
                 say(html.escape(m["cdata"], quote=False))
+            elif m["xmp"]:
+                flush()
+                stack.append(("xmp", ()))
+                say(html.escape(m["xmp"], quote=False))
+                flush()
+                stack.pop()
             continue
         tag = tag.lower()
         if tag not in _INLINE:

@@ -189,6 +189,25 @@ def test_viterbi_is_the_best_path(crf):
     assert value(crf.decode(feats)) == pytest.approx(value(best))
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>One <svg class="i"/> two.</p><p>Three.</p>', ["One two.", "Three."]),
+        ("<p>One <svg><title>x</title><path d='M0'/></svg> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One <svg class='i'></p><p>Three.</p>", ["One", "Three."]),
+        ("<div><svg><foreignObject><p>Inside.</p></foreignObject></svg></div><p>Three.</p>", ["Inside.", "Three."]),
+        ("<p>One</p><title-card>Two.</title-card><style-x>Three.</style-x><p>Four.</p>", ["One", "Two.", "Three.", "Four."]),
+        ("<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x{=}1</annotation></semantics></math> holds.</p>", ["So x=1 holds."]),
+        ("<p>One <math/> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One</p><xmp>a <b>&amp;</b></xmp><p>Two.</p>", ["One", "a <b>&amp;</b>", "Two."]),
+        ("<p>One <noscript>two</noscript> three.</p>", ["One two three."]),
+        ("<p>One</p><script >var a;</script x><style/>p{}</style><p>Two.</p>", ["One", "Two."]),
+    ],
+)
+def test_html_raw_elements(page, want):
+    assert [b.text for b in html_crf.leaf_blocks(page)] == want
+
+
 def test_html_pages(spark, crf):
     page = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>One</a></li></ul></nav><!-- <p>no</p> --><div class='ad'>Buy this now.</div><article><h1>Head &amp; more</h1><p>First   line\nof text, long enough to be read.<p>Second&nbsp;one is here, and it is long too.</p></article><footer>&copy; x</footer></body></html>"
     rows = [(1, "u", page, 5), (2, None, None, 5), (3, "u", "", 5), (1, "u", page, 5), (None, "u", "<p", 5)]
