@@ -587,6 +587,24 @@ def _(spark, sf_dir):
     return workloads.pagerank(*_graph(spark, sf_dir), rounds=3, digits=6)
 
 
+#: As many rounds as the reference makes by default, of PageRank and of k-means.
+ROUNDS = 10
+
+_FULL = _GRAPH.replace(" AS (", " AS MATERIALIZED (")
+for _k in range(4, ROUNDS + 1):
+    _FULL += f", r{_k} AS MATERIALIZED (SELECT n.node, (1 - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(s, 0.0) AS score FROM n LEFT JOIN (SELECT dst, sum(score * w) AS s FROM g JOIN r{_k - 1} ON src = node GROUP BY 1) ON dst = node)"
+
+
+@query("joi_04_pagerank_full", _FULL + f" SELECT node, round(score, 6) AS score FROM r{ROUNDS}")
+def _(spark, sf_dir):
+    kept = []
+    for d in _graph(spark, sf_dir):  # each round reads them again
+        path = scratch.folder(spark, "graph")
+        d.write.parquet(path)
+        kept.append(spark.read.parquet(path))
+    return workloads.pagerank(*kept, rounds=ROUNDS, digits=6)
+
+
 @query("joi_05_lookup_join", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(spark, sf_dir):
     n = O.lookup_join(table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey"), table(spark, sf_dir, "region"), ["r_regionkey"])
@@ -903,7 +921,7 @@ def _(spark, sf_dir):
 @query("job_05_iterated_kmeans")
 def _(spark, sf_dir):
     d = table(spark, sf_dir, "embeddings")
-    return workloads.kmeans(d, _centres(spark, sf_dir), 3, "embedding")[1].groupBy("c").agg(F.count("*").alias("n"))
+    return workloads.kmeans(d, workloads.random_centres(d, 4, "vec_id", "embedding"), ROUNDS, "embedding")[1].groupBy("c").agg(F.count("*").alias("n"))
 
 
 @query("job_07_events", values("status, n", "('ready', 2)"))

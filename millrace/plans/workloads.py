@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import pyfuncs as P
+from millrace.functions import scalars as S
 from millrace.operators import core as O
 from millrace.sources import scratch
 
@@ -50,6 +51,16 @@ def bayes_predict(rows: DataFrame, train: DataFrame, digits: int = 9) -> DataFra
     )
 
 
+def random_centres(points: DataFrame, k: int, key: str, vector: str = "x") -> list[list[float]]:
+    """The first pass of k-means: every point falls into one of k clusters by the hash of its key; their means.
+
+    A cluster that no point falls into is left out."""
+    centres: dict[int, dict[int, float]] = {}
+    for r in O.mean_vectors(points.withColumn("c", S.key_hash_label(key, k)), "c", vector).collect():  # k vectors
+        centres.setdefault(r["c"], {})[r["dim"]] = r["mean"]
+    return [[m for _, m in sorted(c.items())] for _, c in sorted(centres.items())]
+
+
 def kmeans(points: DataFrame, centres: list[list[float]], rounds: int, vector: str = "x") -> tuple[list[list[float]], DataFrame]:
     """Lloyd's rounds: the centres (k vectors) are all that comes to the driver."""
     for _ in range(rounds):

@@ -144,6 +144,40 @@ def test_bayes_and_kmeans_and_tours(spark):
     assert sorted(tuple(P.tour(k, [1, 2, 3])) for k in range(6)) == sorted(itertools.permutations([1, 2, 3]))
 
 
+def test_registered_rounds(spark, tmp_path):
+    """Ten rounds, k-means from a pass over all points, against brute force."""
+    import hashlib
+    import random
+    from collections import Counter
+
+    from millrace.plans import registry
+
+    r = random.Random(3)
+    points = [(k, [r.random(), r.random()]) for k in range(400)]
+    spark.createDataFrame(points, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    points = [(row["vec_id"], row["embedding"]) for row in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+
+    def sizes(rounds):
+        of = {k: int(hashlib.md5(str(k).encode()).hexdigest(), 16) % 4 for k, _ in points}
+        for _ in range(rounds + 1):
+            means = [[sum(x) / len(x) for x in zip(*[v for k, v in points if of[k] == c])] for c in range(4)]
+            of = {k: min((sum((a - b) ** 2 for a, b in zip(v, m)), c) for c, m in enumerate(means))[1] for k, v in points}
+        return Counter(of.values())
+
+    got = {row["c"]: row["n"] for row in registry.QUERIES["job_05_iterated_kmeans"](spark, str(tmp_path)).collect()}
+    assert got == sizes(10) != sizes(3)
+
+    users = [r.randrange(12) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(users)), "event_id bigint, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    edges = set(zip(users, users[1:]))
+    out = Counter(a for a, _ in edges)
+    want = [dict.fromkeys(users, 1.0)]
+    for _ in range(10):
+        want.append({n: 0.15 + 0.85 * sum(want[-1][a] / out[a] for a, b in edges if b == n) for n in want[0]})
+    got = {row["node"]: row["score"] for row in registry.QUERIES["joi_04_pagerank_full"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want[10], abs=1e-6) and got != pytest.approx(want[3], abs=1e-6)
+
+
 def test_boolean_queries(spark):
     index = sinks.key_value_map(spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 4)], "k string, v int"))
     ask = lambda q: sorted(r["v"] for r in workloads.query_map(index, q).collect())
