@@ -59,7 +59,8 @@ def main(args: list[str] | None = None) -> int:
         for t, links, blobs in c.findtags(*n):
             print(json.dumps([t, links, blobs]))
     elif a.command == "cat":
-        c.pull(n[0]).select("value").show(1_000_000, truncate=False)
+        for row in c.pull(n[0]).select("value").toLocalIterator():  # a partition at a time
+            print("" if row[0] is None else row[0])
     elif a.command in ("setattr", "delattr"):
         getattr(c, a.command)(*n)
     else:

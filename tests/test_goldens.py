@@ -301,3 +301,16 @@ def test_command_line(capsys):
 
     assert cli.main(["queries"]) == 0 and "map_05_word_count" in capsys.readouterr().out
     assert cli.main(["sql", "agg_13_count"]) == 0 and "count(*)" in capsys.readouterr().out
+
+
+def test_cat_prints_every_row(spark, capsys, monkeypatch):
+    from millrace import cli
+
+    def no_show(*args, **kwargs):
+        raise AssertionError("show() is capped")
+
+    n = 1_000_003
+    monkeypatch.setattr(Catalog, "pull", lambda self, tag: spark.range(n).select(F.col("id").cast("string").alias("value")))
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.show", no_show)
+    assert cli.main(["cat", "/nowhere", "t"]) == 0
+    assert capsys.readouterr().out.splitlines() == [str(k) for k in range(n)]
