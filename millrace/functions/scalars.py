@@ -63,8 +63,8 @@ def blob_name(url: Column | str) -> Column:
 
 
 def job_name(url: Column | str) -> Column:
-    """Last path part but one."""
-    return F.element_at(F.split(_c(url), "/"), -2)
+    """Last path part but one, null where there is none."""
+    return F.try_element_at(F.split(_c(url), "/"), F.lit(-2))
 
 
 def scheme(url: Column | str) -> Column:

@@ -314,3 +314,21 @@ def test_cat_prints_every_row(spark, capsys, monkeypatch):
     monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.show", no_show)
     assert cli.main(["cat", "/nowhere", "t"]) == 0
     assert capsys.readouterr().out.splitlines() == [str(k) for k in range(n)]
+
+
+def test_flat_map_sees_all_rows(spark, tmp_path, monkeypatch):
+    from millrace.plans import registry
+
+    rows = [(1, 46.0, "A", "F"), (2, 45.0, "N", "O"), (3, None, "R", "F"), (4, 50.0, None, "O")]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, flat_map = [], O.flat_map
+    monkeypatch.setattr(O, "flat_map", lambda df, *args, **kwargs: (seen.append(df.count()), flat_map(df, *args, **kwargs))[1])
+    got = registry.QUERIES["map_01_flat_map"](spark, str(tmp_path)).collect()
+    assert seen == [4] and sorted(map(tuple, got), key=repr) == sorted([(1, "A"), (1, "F"), (4, None), (4, "O")], key=repr)
+
+
+def test_url_functions_of_other_urls(spark):
+    urls = ["http://h", "http://h/", "http://h:1/a/b", "x", "a/b", "", None]
+    d = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, u string")
+    got = [tuple(r)[1:] for r in d.select("k", S.scheme("u"), S.net_location("u"), S.url_path("u"), S.job_name("u")).orderBy("k").collect()]
+    assert got == [("http", "h", "", ""), ("http", "h", "", "h"), ("http", "h:1", "a/b", "a"), ("", "", "x", None), ("", "", "a/b", "a"), ("", "", "", None), ("", "", None, None)]
