@@ -10,11 +10,13 @@ content says so, so documents that share passages share chunks. The store at
   recipes are built;
 * ``recipes``: in ascending doc_id order, each document's id, first position in
   the stream of all ids, chunk hashes, chunk lengths and Merkle root;
-* ``manifest``: one row for each recipe shard with its range, counts and the
-  Merkle root over its documents' roots.
+* ``manifest``: one row for each recipe shard with its range, counts and a
+  digest. In place of a Merkle root it is the hash of a sum, modulo 2^128, of
+  hashes of each document's start and root; doc_ids are in no digest.
 
 Reading back checks every chunk against its hash, and every document's root and
-length against its recipe; a mismatch raises.
+length against its recipe; a mismatch raises. That doc_ids were swapped or
+altered in the recipes is not noticed.
 
 Defined cases: a null text is encoded as an empty one (only the end id); a null
 doc_id comes first in the order; equal doc_ids keep all their rows, in a fixed
