@@ -175,6 +175,15 @@ def test_html_held_out_layouts(crf):
     assert wrong < 0.03 * total
 
 
+def test_html_digits_of_whole_blocks():
+    def marked(text):
+        return "digits" in html_crf.features(html_crf.leaf_blocks(f"<p>{text}</p>"))[0]
+
+    assert not marked("12 " * 70 + "and prose goes on from here " * 100)
+    assert marked("prose comes first here, " * 10 + "12 " * 300)
+    assert marked("12 a") and not marked("one 1 and two")
+
+
 def test_viterbi_is_the_best_path(crf):
     import itertools
 
