@@ -34,9 +34,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it is unset, a temporary one, which is then set."""
+    """The cluster's shared folder; where it is unset, a temporary one, which is then set.
+
+    Only a session whose executors run in this machine's driver may have one of its own: on a
+    cluster each executor would write to its own disk, so there the setting is asked for."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="millrace-shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -55,6 +60,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(spots: DataFrame, log2: int) -> np.ndarray:
+    """2^log2 bits, those of the only column of ``spots`` set: they come to the driver as 64-bit words,
+    ORed together by the executors, so as no more than 2^(log2 - 6) rows whatever the input."""
+    spot = F.col(spots.columns[0]).cast("bigint")
+    words = spots.groupBy(F.shiftright(spot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({spots.columns[0]} & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (log2 - 6), U)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U)
+    return out
+
+
+def bitmap_log2(rows: int) -> int:
+    """Bits for about one in 16 to be set, from 2^20 to 2^28 (32 MB); a fuller bitmap only lets more rows through to the join."""
+    return min(28, max(20, (16 * rows - 1).bit_length()))
+
+
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at.astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(U)) & U(1) == 1
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one of our own folders through Hadoop's file system, wherever it lies."""
     jvm = spark.sparkContext._jvm

@@ -159,6 +159,37 @@ def test_line_dedup(spark, docs, rows):
     assert out == {(i, t if not gone[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t in order}
 
 
+def test_line_dedup_of_templates(spark):
+    """Lines of one template are all linked; what is compared grows with their number, not its square."""
+    r = random.Random(6)
+    base = [f"t{k}" for k in range(20)]
+    lines = []
+    for k in range(2000):
+        w = list(base)
+        w[r.randrange(20)] = f"v{r.randrange(10**6)}"
+        lines.append(" ".join(w))
+    lines += [" ".join([*base[:18], f"x{k % 40}", f"y{k // 40}"]) for k in range(400)]
+    r.shuffle(lines)
+    texts = ["\n".join(lines[k : k + 7]) for k in range(0, len(lines), 7)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3).cache()
+    want, before = {}, []
+    for k, t in enumerate(texts):
+        for j, line in enumerate(t.split("\n")):
+            s = set(line.encode().split())
+            if any(100 * len(s & o) >= 90 * len(s | o) for o in before):
+                want.setdefault(k, []).append(j)
+            before.append(s)
+    assert {x["doc_id"]: x["removed_lines"] for x in line_dedup.report(docs).collect() if x["n_removed"]} == want
+    assert line_dedup.removed_lines(docs)[1].count() < 8 * len(lines)
+
+
+def test_sorts_survive_ties():
+    line = np.asarray([0, 0, 0, 1, 1])
+    h = np.asarray([5, 3, 4, 2, 1], C.U)
+    assert line_dedup._sorted_by(line, np.zeros(5, C.U), (h,)).tolist() == [1, 2, 0, 4, 3]
+    assert line_dedup._sorted_by(line + (1 << 30), h, (h,)).tolist() == [1, 2, 0, 4, 3]
+
+
 # -- 4 ----------------------------------------------------------------------------------------
 
 
