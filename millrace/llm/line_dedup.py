@@ -17,8 +17,8 @@ no more cells than elements can differ), then the exact similarity on full sets.
 
 What is asked of a line is only whether an earlier one is near, so lines that follow a
 common template aren't compared with each other. Words whose counter is above
-HUB_ABOVE first meet hubs alone: of each size, the earliest line with that word in
-its prefix. Lines that a hub shows to be removed are decided, and from then on only
+HUB_ABOVE first meet hubs alone: of each size, the earliest line with that word near
+enough to the front of its prefix. Lines that a hub shows to be removed are decided, and from then on only
 serve as the earlier side. The rest is compared with all earlier lines, so nothing is lost.
 
 Defined cases: lines end at a line feed; a line without words is kept and matches
@@ -192,7 +192,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         return links, links.select(F.col("a").alias("uid")).distinct()
 
     crowded = heads(sets.filter("exists(crowded, c -> c)")).filter("crowded")
-    hubs = crowded.groupBy("token", "n").agg(F.min(F.struct("d", "uid", "parities", "at")).alias("hub")).select("token", "n", "hub.*")
+    # so near the front that lines of the same size with the word as near the front pass the filter of places
+    front = F.col("n") - F.col("at") >= F.expr(f"ceil({2 * percent} * cast(n as bigint) / {100 + percent})")
+    hubs = crowded.filter(front).groupBy("token", "n").agg(F.min(F.struct("d", "uid", "parities", "at")).alias("hub")).select("token", "n", "hub.*")
     y, x = hubs.alias("y"), crowded.alias("x")
     by_hub, decided = decide(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & _near("x", "y", percent)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "hubs")
     # a decided line looks for no other: the least size that it looks for is beyond any
