@@ -12,14 +12,15 @@ linked if they share a word among their n - ceil(t n) + 1 rarest. Rarity comes f
 2^20 hashed counters over all lines (with the word's hash after it, any order is
 exact as long as it is the same for all sets); a word whose counter is 1 is in no
 other line and is left out. Length and position filters follow,
-and one of parities (64 cells of the universe, each with the parity of its elements:
+and one of parities (64 cells of the universe, twice for hubs, each with the parity of its elements:
 no more cells than elements can differ), then the exact similarity on full sets.
 
 What is asked of a line is only whether an earlier one is near, so lines that follow a
 common template aren't compared with each other. Words whose counter is above
-HUB_ABOVE first meet hubs alone: of each size, the earliest line with that word near
-enough to the front of its prefix. Lines that a hub shows to be removed are decided, and from then on only
-serve as the earlier side. The rest is compared with all earlier lines, so nothing is lost.
+HUB_ABOVE first meet HUBS hubs alone: of each size, the earliest lines in as many hashed
+parts of those with that word near enough to the front of their prefix. Lines that the most
+alike of these shows to be removed are decided, and from then on only serve as the earlier side.
+The rest is compared with all earlier lines, so nothing is lost.
 
 Defined cases: lines end at a line feed; a line without words is kept and matches
 nothing; null and empty texts have no lines; rows equal in doc_id and text are
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PERCENT, SLOTS_LOG2, HUB_ABOVE, SEEN = 90, 20, 64, 1_000_000
+PERCENT, SLOTS_LOG2, HUB_ABOVE, HUBS, SEEN = 90, 20, 256, 64, 1_000_000
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -90,10 +91,10 @@ class LineSets:
         # a set's key: two sums of its elements' hashes, 128 bits together
         self.keys = [total(np.add, e), total(np.add, (e ^ (e >> C.U(29))) * (e >> C.U(32) | C.U(1)))]
         # parities of 64 cells: sets that differ in d elements differ in at most d of them
-        self.parities = total(np.bitwise_xor, C.U(1) << (e & C.U(63)))
+        self.parities, self.others = (total(np.bitwise_xor, C.U(1) << (e >> C.U(k) & C.U(63))) for k in (0, 6))
 
 
-_LINES = "uid bigint, doc_id bigint, h bigint, line int, n int, k1 bigint, k2 bigint, parities bigint, prefix array<bigint>, places array<int>, crowded array<boolean>"
+_LINES = "uid bigint, doc_id bigint, h bigint, line int, n int, k1 bigint, k2 bigint, parities bigint, others bigint, prefix array<bigint>, places array<int>, crowded array<boolean>"
 
 
 def _lines(percent: int, counts_b):
@@ -139,25 +140,28 @@ def _lines(percent: int, counts_b):
             yield pa.RecordBatch.from_arrays(
                 [
                     docs(uid + np.arange(count), pa.int64(), None), b.column(0).take(row), b.column(1).take(row), docs(s.number, pa.int32(), pa.array([-1] * len(texts), pa.int32())), docs(n, pa.int32(), n_lines),
-                    docs(s.keys[0], pa.int64(), None), docs(s.keys[1], pa.int64(), None), docs(s.parities, pa.int64(), None),
+                    docs(s.keys[0], pa.int64(), None), docs(s.keys[1], pa.int64(), None), docs(s.parities, pa.int64(), None), docs(s.others, pa.int64(), None),
                     pa.ListArray.from_arrays(offsets, pa.array(e[order][keep].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(often[keep] > HUB_ABOVE)),
                 ],
-                names=["uid", "doc_id", "h", "line", "n", "k1", "k2", "parities", "prefix", "places", "crowded"],
+                names=["uid", "doc_id", "h", "line", "n", "k1", "k2", "parities", "others", "prefix", "places", "crowded"],
             )
             uid += count
 
     return run
 
 
-def _near(x: str, y: str, percent: int) -> F.Column:
+def _apart(x: str, y: str, name: str) -> F.Column:
+    return F.bit_count(F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}")))
+
+
+def _near(x: str, y: str, percent: int, *parities: str) -> F.Column:
     """The filters on two heads of one word: sizes, parities, and what follows the word in either."""
     # least overlap of a linked pair: t / (1 + t) of both sizes; what follows the shared word must suffice for it
     need = F.expr(f"cast(ceil({percent} * cast({x}.n + {y}.n as bigint) / {100 + percent}) as bigint)")
-    apart = F.bit_count(F.col(f"{x}.parities").bitwiseXOR(F.col(f"{y}.parities")))
-    return (
-        (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent) & (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (apart <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * need)
-        & (F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")) >= need)
-    )
+    out = (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent) & (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")) >= need)
+    for p in parities:
+        out &= _apart(x, y, p) <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * need
+    return out
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -178,7 +182,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     firsts = classes.select("rep", "first")
     # d orders by doc_id, nulls first: it only says which of two lines is worth looking at
     order = classes.select(F.col("rep").alias("uid"), F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("d"))
-    sets = C.materialize(lines.filter("size(prefix) > 0").select("uid", "n", "parities", "prefix", "places", "crowded").join(order, "uid"), "line-prefixes")
+    sets = C.materialize(lines.filter("size(prefix) > 0").select("uid", "n", "parities", "others", "prefix", "places", "crowded").join(order, "uid"), "line-prefixes")
 
     def heads(some: DataFrame, *more: str) -> DataFrame:
         return some.select("uid", "d", "n", "parities", *more, F.explode(F.arrays_zip("prefix", "places", "crowded")).alias("p")).select("uid", "d", "n", "parities", *more, F.col("p.prefix").alias("token"), F.col("p.places").alias("at"), F.col("p.crowded").alias("crowded"))
@@ -191,17 +195,20 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         links = C.materialize(ahead.select("a", "b"), f"line-links-{tag}")
         return links, links.select(F.col("a").alias("uid")).distinct()
 
-    crowded = heads(sets.filter("exists(crowded, c -> c)")).filter("crowded")
+    crowded = heads(sets.filter("exists(crowded, c -> c)"), "others").filter("crowded")
     # so near the front that lines of the same size with the word as near the front pass the filter of places
     front = F.col("n") - F.col("at") >= F.expr(f"ceil({2 * percent} * cast(n as bigint) / {100 + percent})")
-    hubs = crowded.filter(front).groupBy("token", "n").agg(F.min(F.struct("d", "uid", "parities", "at")).alias("hub")).select("token", "n", "hub.*")
+    part = F.pmod(F.xxhash64("uid"), F.lit(HUBS)).alias("part")
+    hubs = crowded.filter(front).groupBy("token", "n", part).agg(F.min(F.struct("d", "uid", "parities", "others", "at")).alias("hub")).select("token", "n", "hub.*")
     y, x = hubs.alias("y"), crowded.alias("x")
-    by_hub, decided = decide(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & _near("x", "y", percent)).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "hubs")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & _near("x", "y", percent, "parities", "others"))
+    nearest = met.groupBy(F.col("x.uid").alias("a")).agg(F.min(F.struct(_apart("x", "y", "parities") + _apart("x", "y", "others"), F.col("y.d"), F.col("y.uid").alias("b"))).alias("hub"))
+    by_hub, decided = decide(nearest.select("a", "hub.b"), "hubs")
     # a decided line looks for no other: the least size that it looks for is beyond any
     least = F.when(F.col("done").isNull(), 0).otherwise((1 << 31) - 1)
     all_heads = heads(sets.join(decided.withColumn("done", F.lit(1)), "uid", "left").withColumn("least", least), "least").drop("crowded")
     x, y = all_heads.alias("x"), all_heads.alias("y")
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & (F.col("y.n") >= F.col("x.least")) & _near("x", "y", percent))
+    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & (F.col("y.n") >= F.col("x.least")) & _near("x", "y", percent, "parities"))
     by_any, others = decide(near.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "rest")
     # removed: in classes of several lines all but the first, and first lines that a similar class precedes
     several = classes.filter("members > 1").select("k1", "k2", "first")  # a class of very many lines: AQE splits its side of the join
