@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PERCENT, SLOTS_LOG2, HUB_ABOVE, HUBS, SEEN = 90, 20, 256, 64, 1_000_000
+PERCENT, SLOTS_LOG2, HUB_ABOVE, HUBS, SEEN, FEW = 90, 20, 256, 64, 1_000_000, 100_000
+#: Added to the place of a decided line's words: it looks for no other, as nothing follows a word so far behind.
+_DONE = 1 << 30
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -158,7 +160,7 @@ def _near(x: str, y: str, percent: int, *parities: str) -> F.Column:
     """The filters on two heads of one word: sizes, parities, and what follows the word in either."""
     # least overlap of a linked pair: t / (1 + t) of both sizes; what follows the shared word must suffice for it
     need = F.expr(f"cast(ceil({percent} * cast({x}.n + {y}.n as bigint) / {100 + percent}) as bigint)")
-    out = (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent) & (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at")) >= need)
+    out = (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent) & (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at").bitwiseAND(F.lit(_DONE - 1))) >= need)
     for p in parities:
         out &= _apart(x, y, p) <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * need
     return out
@@ -204,11 +206,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & _near("x", "y", percent, "parities", "others"))
     nearest = met.groupBy(F.col("x.uid").alias("a")).agg(F.min(F.struct(_apart("x", "y", "parities") + _apart("x", "y", "others"), F.col("y.d"), F.col("y.uid").alias("b"))).alias("hub"))
     by_hub, decided = decide(nearest.select("a", "hub.b"), "hubs")
-    # a decided line looks for no other: the least size that it looks for is beyond any
-    least = F.when(F.col("done").isNull(), 0).otherwise((1 << 31) - 1)
-    all_heads = heads(sets.join(decided.withColumn("done", F.lit(1)), "uid", "left").withColumn("least", least), "least").drop("crowded")
+    done = decided.withColumn("done", F.lit(_DONE))
+    if decided.limit(FEW + 1).count() <= FEW:
+        done = F.broadcast(done)  # spares a shuffle of all prefixes
+    all_heads = heads(sets.join(done, "uid", "left").withColumn("done", F.coalesce("done", F.lit(0))), "done").withColumn("at", F.col("at") + F.col("done")).drop("crowded", "done")
     x, y = all_heads.alias("x"), all_heads.alias("y")
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & (F.col("y.n") >= F.col("x.least")) & _near("x", "y", percent, "parities"))
+    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.d") >= F.col("y.d")) & (F.col("x.uid") != F.col("y.uid")) & _near("x", "y", percent, "parities"))
     by_any, others = decide(near.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), "rest")
     # removed: in classes of several lines all but the first, and first lines that a similar class precedes
     several = classes.filter("members > 1").select("k1", "k2", "first")  # a class of very many lines: AQE splits its side of the join
