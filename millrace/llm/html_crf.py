@@ -13,8 +13,9 @@ part of the text around them, without the source note of a formula; xmp is text
 it stands. Nothing else is cut off or capped.
 
 Defined cases: a null or empty page, and one without text, gives an empty text;
-unclosed and crossing tags close with an enclosing element or the page; a tag
-that the page breaks off inside of is dropped; repeated rows each get their row;
+unclosed and crossing tags close with an enclosing element or the page; the page's last
+tag is dropped where the page breaks off inside of it, while an earlier < that no > follows is
+text; a quote that never closes doesn't hide the end of its tag; repeated rows each get their row;
 null ids and urls stay null; other columns are ignored, whatever their names; an
 empty table gives an empty result.
 """
@@ -40,16 +41,16 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 )
 #: Tags at which HTML leaves an svg whose end tag is missing (or a foreignObject with HTML in it).
 _LEAVES_SVG = "address article aside b big blockquote body br center code dd details div dl dt em embed fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html i img li main menu nav ol p pre ruby s section small span strike strong sub sup table td th tr tt u ul var".split()
-_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
-    rf"|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>"
-    rf"|<svg(?=[\s/>]){_ATTRS}>.*?(?:</svg(?:[\s/][^>]*)?>|(?=</?(?:{'|'.join(_LEAVES_SVG)})[\s/>])|\Z)"
-    rf"|<(?P<raw>{'|'.join(_RAW)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?:[\s/][^>]*)?>|\Z)"
-    rf"|<xmp(?=[\s/>]){_ATTRS}>(?P<xmp>.*?)(?:</xmp(?:[\s/][^>]*)?>|\Z)"
-    rf"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+_MARK = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME_OF = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Up to the end of a tag: a quoted value may hold >. Nothing is tried twice.
+_TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_SVG_END = re.compile(rf"</svg(?:[\s/][^>]*)?>|(?=</?(?:{'|'.join(_LEAVES_SVG)})[\s/>])", re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in (*_RAW, "xmp")}
+#: Tags that reach the page's end in a quoted value; after so many, quotes aren't heeded any more.
+_PATIENCE = 8
+#: A block's features look at so many of its nearest ancestors.
+_NEAR = 64
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -69,74 +70,140 @@ class Block:
         self.path, self.text, self.link = path, text, link
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page as (kind, name or text, attributes): kinds are text, plain (text as it stands), open, close
+    and xmp. One pass: what has been looked through in vain isn't looked through again."""
+    at, last, tries, no_cdata = 0, page.rfind(">"), 0, False
+    while True:
+        m = _MARK.search(page, at)
+        i = m.start() if m else len(page)
+        if i > at:
+            yield "text", page[at:i], ""
+        if m is None:
+            return
+        kind = page[i + 1]
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        if page.startswith("<![CDATA[", i) and not no_cdata:
+            end = page.find("]]>", i + 9)
+            if end >= 0:
+                yield "plain", page[i + 9 : end], ""
+                at = end + 3
+                continue
+            no_cdata = True
+        if i > last:  # no tag ends any more: what looks like the start of one is text, but for the page's last
+            if not kind.isalpha() or page.find("<", i + 1) < 0:
+                return
+            yield "text", "<", ""
+            at = i + 1
+            continue
+        named = _NAME_OF.match(page, i)
+        if named is None:  # a declaration, or what isn't the end of anything
+            at = page.find(">", i) + 1
+            continue
+        end = None
+        if tries < _PATIENCE:
+            end = _TAG_END.match(page, named.end())
+            tries += end is None
+        end = end.end() if end else page.find(">", named.end()) + 1
+        name, attrs, at = named[1].lower(), page[named.end() : end - 1], end
+        if kind == "/":
+            yield "close", name, ""
+        elif name == "svg":
+            if not attrs.endswith("/"):
+                close = _SVG_END.search(page, at) if at <= last else None
+                if close is None:
+                    return
+                at = close.end()
+        elif name in _RAW_END:
+            close = _RAW_END[name].search(page, at) if at <= last else None
+            if name == "xmp":
+                yield "xmp", page[at : close.start() if close else len(page)], ""
+            if close is None:
+                return
+            at = close.end()
+        else:
+            yield "open", name, attrs
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks in page order; a path is (tag, words of its attributes) from the root down, inline elements left out."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    where: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
+    solid: list[int] = []  # places of those that aren't inline
+    path: list[tuple[str, tuple[str, ...]]] = []  # these themselves
     held: list[str] = []
     linked = [0, 0]  # open links, characters in links
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        where.setdefault(tag, []).append(len(stack))
+        if tag not in _INLINE:
+            solid.append(len(stack))
+            path.append((tag, names))
+        stack.append((tag, names))
+
+    def close_from(k: int) -> None:
+        while len(stack) > k:
+            tag, _ = stack.pop()
+            where[tag].pop()
+            if tag not in _INLINE:
+                solid.pop()
+                path.pop()
+
     def flush() -> None:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append(Block(tuple(e for e in stack if e[0] not in _INLINE), text, min(len(text), linked[1])))
+                out.append(Block(tuple(path[-_NEAR:]), text, min(len(text), linked[1])))
             held.clear()
         linked[1] = 0
 
     def say(s: str) -> None:
-        if s and not (stack and stack[-1][0] == "annotation" and any(tag == "math" for tag, _ in stack)):
+        if s and not (stack and stack[-1][0] == "annotation" and where.get("math")):
             held.append(s)
             if linked[0]:
                 linked[1] += len(s)
 
-    at = 0
-    page = page or ""
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["cdata"]:
-                say(html.escape(m["cdata"], quote=False))
-            elif m["xmp"]:
-                flush()
-                stack.append(("xmp", ()))
-                say(html.escape(m["xmp"], quote=False))
-                flush()
-                stack.pop()
+    for kind, tag, attrs in tokens(page or ""):
+        if kind == "text":
+            say(tag)
+            continue
+        if kind == "plain":
+            say(html.escape(tag, quote=False))
+            continue
+        if kind == "xmp":
+            flush()
+            push("xmp", ())
+            say(html.escape(tag, quote=False))
+            flush()
+            close_from(len(stack) - 1)
             continue
-        tag = tag.lower()
         if tag not in _INLINE:
             flush()
         elif tag == "br":
             held.append(" ")
-        if m["close"]:
+        if kind == "close":
             if tag == "a":
                 linked[0] = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
+            k = where[tag][-1] if where.get(tag) else -1
+            # an inline element's end doesn't reach out of the block around it
+            if k >= 0 and not (tag in _INLINE and solid and k < solid[-1]):
+                close_from(k)
         elif tag not in _VOID:
             ends = _ENDS.get(tag) or ({"p"} if tag in _BLOCK_ENDS_P else None)
-            if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        linked[0] = 0
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE and stack[k][0] not in ends:
-                        break
+            if ends and solid and stack[solid[-1]][0] in ends:
+                linked[0] = 0
+                close_from(solid[-1])
             if tag == "a":
                 linked[0] = 1
-            attrs = m["attrs"]
-            names = tuple(w for a in _ATTR.finditer(attrs) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if attrs and "=" in attrs else ()
-            if not m["attrs"].endswith("/") or tag not in _INLINE:
-                stack.append((tag, names))
-    say(page[at:])
+            names = tuple(w for a in _ATTR.finditer(attrs) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())) if "=" in attrs else ()
+            if not attrs.endswith("/") or tag not in _INLINE:
+                push(tag, names)
     flush()
     return out
 
@@ -411,13 +478,33 @@ class Crf:
         return out[::-1]
 
 
+_WEIGHTS = "html_crf_weights.json"
 _trained: Crf | None = None
 
 
+def fitted() -> Crf:
+    """The model fitted to the labelled pages: what the stored weights are made of."""
+    return Crf().fit(training_pages())
+
+
+def save(crf: Crf, path: str) -> None:
+    import json
+
+    said = {"start": crf.start.tolist(), "trans": crf.trans.tolist(), "table": dict(sorted(crf.table.items()))}
+    with open(path, "w") as f:
+        json.dump(said, f, indent=0)
+
+
 def trained() -> Crf:
+    """The fitted weights as stored beside this module; a test fits them again."""
     global _trained
     if _trained is None:
-        _trained = Crf().fit(training_pages())
+        import json
+        import pkgutil
+
+        said = json.loads(pkgutil.get_data(__package__, _WEIGHTS))
+        _trained = Crf()
+        _trained.start, _trained.trans, _trained.table = np.asarray(said["start"]), np.asarray(said["trans"]), said["table"]
     return _trained
 
 

@@ -251,6 +251,38 @@ def test_html_raw_elements(page, want):
     assert [b.text for b in html_crf.leaf_blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>one</p><svg-icon name='x'></svg-icon><p>two</p><p>three</p>", ["one", "two", "three"]),
+        ("<title-bar>hi</title-bar><p>two</p>", ["hi", "two"]),
+        ('<p title="it\'s > that" data-x=a"b>One</p><p don\'t>Two</p>', ["One", "Two"]),
+        ('<p>One <a href="/x>two</a></p>', ["One two"]),
+        ("<p>1 < 2 and 3 <b 4", ["1 < 2 and 3"]),
+        ("<p>One</p>a <b c a <b c", ["One", "a <b c a"]),
+        ("<p>One</p><![CDATA[ open <p>Two</p>", ["One", "Two"]),
+    ],
+)
+def test_html_loses_no_text(page, want):
+    assert [b.text for b in html_crf.leaf_blocks(page)] == want
+
+
+@pytest.mark.parametrize("page", ["a <b c " * 150_000, '<b c="' * 150_000, '<b c=">" ' * 100_000, "<b" * 500_000, "<![CDATA[>" * 100_000, "<div>" * 80_000 + "</x>" * 80_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<svg>" + "</svg " * 150_000])
+def test_html_of_a_megabyte_takes_seconds(page):
+    import time
+
+    began = time.process_time()
+    html_crf.leaf_blocks(page)
+    assert time.process_time() - began < 10
+
+
+def test_html_weights_are_those_of_the_fit():
+    stored, fitted = html_crf.trained(), html_crf.fitted()
+    assert stored.table.keys() == fitted.table.keys()
+    assert all(abs(stored.table[x] - w) < 1e-3 for x, w in fitted.table.items())
+    assert np.allclose(stored.trans, fitted.trans, atol=1e-3) and np.allclose(stored.start, fitted.start, atol=1e-3)
+
+
 def test_html_pages(spark, crf):
     page = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>One</a></li></ul></nav><!-- <p>no</p> --><div class='ad'>Buy this now.</div><article><h1>Head &amp; more</h1><p>First   line\nof text, long enough to be read.<p>Second&nbsp;one is here, and it is long too.</p></article><footer>&copy; x</footer></body></html>"
     rows = [(1, "u", page, 5), (2, None, None, 5), (3, "u", "", 5), (1, "u", page, 5), (None, "u", "<p", 5)]
