@@ -11,12 +11,14 @@ in it, and probes only as many segments as its own H asks for, plus one: the
 cheapest by the counts of their keys over the corpus. In bands of small sets the
 index also holds each segment's one-deletion neighbourhood, and an allocation
 may let a segment differ in one element, which counts for two, where that is
-cheaper than probing a frequent key. Sets probe their own band's scheme and the
-one below. Pairs that share a key are compared by fingerprints of finer cells, of which
+cheaper than probing a frequent key. Sets probe their own band's scheme and those
+below that hold sizes they can be linked with (one from 67 percent on, two for some sizes below). Pairs that share a key are compared by fingerprints of finer cells, of which
 no more can differ than elements; what passes is verified exactly on full sets.
 
 Key counts come from a table of 2^20 counters, which is all that is broadcast
-but for a bitmap of 2^22 bits. No pair within the thresholds is ever skipped:
+but for bitmaps of at most 2^28 bits. Hot keys and roots are join keys that Spark shuffles for
+the join itself, so that adaptive execution splits their partitions on either side; what meets a
+component's or a class's single row is salted besides. No pair within the thresholds is ever skipped:
 counts only choose which segments are probed.
 
 Defined cases: null and empty texts, and those of white space only, have an
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SLOTS_LOG2, BITMAP_LOG2, DELETIONS_UP_TO, SALTS = 20, 22, 40, 16
+SLOTS_LOG2, DELETIONS_UP_TO, SALTS = 20, 40, 16
 
 
 class Bands:
@@ -67,6 +69,11 @@ class Bands:
     def band(self, n: int) -> int:
         return bisect_left(self.ends, n)
 
+    def probed(self, n: int) -> list[int]:
+        """A set's own band and those below with sizes that it can be linked with, descending."""
+        own = self.band(n)
+        return [own, *[b for b in range(own - 1, -1, -1) if self.ends[b] * 100 >= self.p * n and self.ends[b] >= self.exact_below()]]
+
     def segments(self, band: int) -> int:
         u = self.ends[band]
         h = self.differ(u, u * 100 // self.p)
@@ -116,13 +123,11 @@ def _sets(p: int, k: int):
                 schemes = None
                 if len(s) >= small and key not in seen:
                     seen.add(key)
-                    own = bands.band(len(s))
                     schemes = []
-                    for band in (own, own - 1):
-                        if band == own or band >= 0 and bands.ends[band] * 100 >= p * len(s) and bands.ends[band] >= small:
-                            keys, deleted, segment = segment_keys(s, band, bands.segments(band))
-                            few = len(s) <= DELETIONS_UP_TO
-                            schemes.append({"band": band, "keys": _long(keys), "deleted": _long(deleted) if few else [], "segment": segment if few else []})
+                    for band in bands.probed(len(s)):
+                        keys, deleted, segment = segment_keys(s, band, bands.segments(band))
+                        few = len(s) <= DELETIONS_UP_TO
+                        schemes.append({"band": band, "keys": _long(keys), "deleted": _long(deleted) if few else [], "segment": segment if few else []})
                 out.append((uid, doc_id, h, len(s), key, schemes))
                 uid += 1
             cols = list(zip(*out, strict=True)) or [[]] * 6
@@ -232,7 +237,6 @@ def links(docs: DataFrame, percent: int = 90, k: int = 5) -> tuple[DataFrame, Da
     counts[often.column("slot").to_numpy()] = often.column("count").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
     rows = ready.mapInArrow(_rows(percent, shared), "key bigint, probe boolean, indexed boolean, uid bigint, n bigint")
-    rows = rows.repartition(C.parts(spark), "key")
     p, q = rows.filter("probe").alias("p"), rows.filter("indexed").alias("q")
     near = p.join(q, (F.col("p.key") == F.col("q.key")) & ((F.col("q.n") < F.col("p.n")) | (F.col("q.n") == F.col("p.n")) & (F.col("q.uid") < F.col("p.uid"))) & (F.col("q.n") * 100 >= F.col("p.n") * percent))
     pairs = C.materialize(near.select(F.col("p.uid").alias("a"), F.col("q.uid").alias("b")).distinct(), "ngram-pairs")
@@ -243,44 +247,41 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     """The pairs whose full sets meet the threshold."""
     spark = docs.sparkSession
     wanted = C.materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes, "rep").select("rep", "set_key", "low_id"), "ngram-wanted")
-    spots = wanted.select(F.pmod(F.xxhash64("low_id"), F.lit(1 << BITMAP_LOG2)).alias("spot")).distinct()
-    bitmap = np.zeros(1 << BITMAP_LOG2, bool)
-    bitmap[spots.toArrow().column("spot").to_numpy()] = True  # at most 2^22 rows; it only spares work: other rows fall to the join
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+    size = C.bitmap_log2(wanted.count())
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << size)).cast("int")
+    shared = spark.sparkContext.broadcast(C.bitmap(wanted.select(F.col("low_id").alias("doc_id")).select(spot.alias("spot")), size))  # it only spares work: other rows fall to the join
 
     bands = Bands(percent)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, spots = C.WordHashes(), np.unpackbits(shared.value).astype(bool)
+        hashes = C.WordHashes()
         for b in batches:
-            b = b.filter(pa.array(spots[b.column(2).to_numpy(zero_copy_only=False)]))
+            b = b.filter(pa.array(C.marked(shared.value, b.column(2).to_numpy(zero_copy_only=False))))
             rows = []
             for (texts,) in C.rows_of([b], "text"):
                 for text in texts:
                     s = np.unique(C.shingle_hashes(hashes(C.ascii_words(text)), k))
                     if len(s):
-                        band = bands.band(len(s))
-                        rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), band, bands.cells(s, band), bands.cells(s, band - 1) if band else None, s.tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["set_key", "n", "band", "own", "below", "elements"])
+                        rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), bands.band(len(s)), [bands.cells(s, band) for band in bands.probed(len(s))], s.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary()], strict=True)], names=["set_key", "n", "band", "cells", "elements"])
 
     # every member of a class has its set: those of the smallest doc_id supply it
-    spotted = docs.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_LOG2)).cast("int"))
-    sets = spotted.mapInArrow(full, "set_key binary, n bigint, band int, own binary, below binary, elements binary").repartition(C.parts(spark), "set_key").dropDuplicates(["set_key"])
-    sets = C.materialize(wanted.select("rep", "set_key").join(sets, "set_key").select("rep", "n", "band", "own", "below", "elements"), "ngram-elements")
+    sets = docs.withColumn("spot", spot).mapInArrow(full, "set_key binary, n bigint, band int, cells array<binary>, elements binary").repartition(C.parts(spark), "set_key").dropDuplicates(["set_key"])
+    sets = C.materialize(wanted.select("rep", "set_key").join(sets, "set_key").select("rep", "n", "band", "cells", "elements"), "ngram-elements")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of which no more cells differ than linked sets' elements may: what fails this isn't linked."""
-        for a_ids, b_ids, n, m, p, q, own, below, other in C.rows_of(batches, "a", "b", "n", "m", "p", "q", "own", "below", "other"):
+        for a_ids, b_ids, n, m, p, q, cells, other in C.rows_of(batches, "a", "b", "n", "m", "p", "q", "cells", "other"):
             keep = []
             for i in range(len(a_ids)):
-                mine = own[i] if p[i] == q[i] else below[i]
+                mine = cells[i][p[i] - q[i]]  # those of the smaller set's band
                 if np.count_nonzero(np.frombuffer(mine, np.uint8) != np.frombuffer(other[i], np.uint8)) <= bands.differ(n[i], m[i]):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    one, two = sets.select(F.col("rep").alias("a"), "n", F.col("band").alias("p"), "own", "below"), sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("band").alias("q"), F.col("own").alias("other"))
-    left = C.materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q", "own", "below", "other").mapInArrow(near, "a bigint, b bigint"), "ngram-near")
+    one, two = sets.select(F.col("rep").alias("a"), "n", F.col("band").alias("p"), "cells"), sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("band").alias("q"), F.col("cells")[0].alias("other"))
+    left = C.materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q", "cells", "other").mapInArrow(near, "a bigint, b bigint"), "ngram-near")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a_ids, b_ids, xs, ys in C.rows_of(batches, "a", "b", "x", "y"):
@@ -297,15 +298,22 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     return left.join(x.join(ends, "a", "left_semi"), "a").join(y.join(ends.withColumnRenamed("a", "b"), "b", "left_semi"), "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
+def _by_root(classes: DataFrame, told: DataFrame) -> DataFrame:
+    """classes beside their component's only row: a component may hold most classes, so its key is split."""
+    many = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return classes.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALTS))).join(many, ["root", "salt"])
+
+
 def components(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, n_similar (other rows linked directly), component_id."""
     members, classes, linked = links(docs, percent, k)
     roots = connected(linked, "ngram")
     ends = linked.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(linked.select("b", "a"))
     others = ends.join(classes.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.sum("members").alias("outside"))
-    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(others, "rep", "left")
-    lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    told = rooted.join(lows, "root").filter("members > 1 or outside is not null").select("set_key", (F.col("members") - 1 + F.coalesce("outside", F.lit(0))).alias("similar"), "component_id")
+    linked_classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep").join(others, "rep")
+    lows = linked_classes.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    alone = classes.filter("members > 1").join(roots.withColumnRenamed("node", "rep"), "rep", "left_anti").select("set_key", (F.col("members") - 1).alias("similar"), F.col("low_id").alias("component_id"))
+    told = alone.union(_by_root(linked_classes, lows).select("set_key", (F.col("members") - 1 + F.col("outside")).alias("similar"), "component_id"))
     # a class may hold a third of all rows: its key is split
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = members.withColumn("salt", F.pmod(F.hash("uid"), F.lit(SALTS))).join(told, ["set_key", "salt"], "left")
@@ -315,29 +323,28 @@ def components(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 90, k: int = 5) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id (then text hash); all columns stay.
 
-    Rows with an empty set all stay. Only rows that a bitmap of 2^22 bits marks as
+    Rows with an empty set all stay. Only rows that a bitmap marks as
     possibly concerned are shuffled; the join decides about them.
     """
     spark = docs.sparkSession
     members, classes, linked = links(docs, percent, k)
     roots = connected(linked, "ngram")
-    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("told", (F.col("members") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "rep")).filter("told")
-    best = rooted.groupBy("root").agg(F.min("low").alias("best"))
-    told = rooted.join(best, "root").select("set_key", "best").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked_classes = classes.join(roots.withColumnRenamed("node", "rep"), "rep")
+    best = linked_classes.groupBy("root").agg(F.min("low").alias("best"))
+    alone = classes.filter("members > 1").join(roots.withColumnRenamed("node", "rep"), "rep", "left_anti").select("set_key", F.col("low").alias("best"))
+    told = alone.union(_by_root(linked_classes, best).select("set_key", "best")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = members.groupBy("doc_id", "h", "set_key").agg(F.count("*").alias("rows")).withColumn("salt", F.pmod(F.hash("doc_id", "h"), F.lit(SALTS))).join(told, ["set_key", "salt"])
     stays = F.col("best") == _key()
     acts = C.materialize(rows.filter(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays")), "ngram-acts")
-    spot = F.pmod(F.xxhash64("__id", "__h"), F.lit(1 << BITMAP_LOG2)).cast("int")
-    bitmap = np.zeros(1 << BITMAP_LOG2, bool)
-    bitmap[acts.select(spot.alias("spot")).distinct().toArrow().column("spot").to_numpy()] = True  # at most 2^22 rows
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+    size = C.bitmap_log2(acts.count())
+    spot = F.pmod(F.xxhash64("__id", "__h"), F.lit(1 << size)).cast("int")
+    shared = spark.sparkContext.broadcast(C.bitmap(acts.select(spot.alias("spot")), size))
 
     @F.pandas_udf("boolean")
     def marked(spots):
         import pandas as pd
 
-        at = spots.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+        return pd.Series(C.marked(shared.value, spots.to_numpy()))
 
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
