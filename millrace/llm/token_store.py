@@ -10,13 +10,13 @@ content says so, so documents that share passages share chunks. The store at
   recipes are built;
 * ``recipes``: in ascending doc_id order, each document's id, first position in
   the stream of all ids, chunk hashes, chunk lengths and Merkle root;
-* ``manifest``: one row for each recipe shard with its range, counts and a
-  digest. In place of a Merkle root it is the hash of a sum, modulo 2^128, of
-  hashes of each document's start and root; doc_ids are in no digest.
+* ``manifest``: one row for each recipe shard with its range and counts, the root of a
+  Merkle tree over its documents in order (a leaf binds doc_id, start, n_tokens
+  and the document's root), and the root of a tree over all shards' rows.
 
 Reading back checks every chunk against its hash, and every document's root and
-length against its recipe; a mismatch raises. That doc_ids were swapped or
-altered in the recipes is not noticed.
+length against its recipe; a mismatch raises. ``check_manifest`` works out all
+rows again. ``proof`` and ``proven`` show that a leaf is below a root.
 
 Defined cases: a null text is encoded as an empty one (only the end id); a null
 doc_id comes first in the order; equal doc_ids keep all their rows, in a fixed
@@ -27,6 +27,7 @@ their names; an empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -63,6 +64,46 @@ def merkle(hashes: list[bytes]) -> bytes:
     return digest(b"root" + level[0])
 
 
+class Tree:
+    """The same root from leaves as they come, with one hash held for each level."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.peaks and self.peaks[-1][0] == level:
+            leaf, level = digest(self.peaks.pop()[1] + leaf), level + 1
+        self.peaks.append((level, leaf))
+
+    def root(self) -> bytes:
+        low = self.peaks[-1][1] if self.peaks else digest(b"")
+        for _, high in reversed(self.peaks[:-1]):
+            low = digest(high + low)
+        return digest(b"root" + low)
+
+
+def proof(hashes: list[bytes], i: int) -> list[tuple[bool, bytes]]:
+    """What leaf i needs to get to the root: at each level, whether its neighbour stands before it, and the neighbour."""
+    level, out = hashes, []
+    while len(level) > 1:
+        if i ^ 1 < len(level):
+            out.append((i & 1 == 1, level[i ^ 1]))
+        level = [digest(b"".join(level[j : j + 2])) if j + 1 < len(level) else level[j] for j in range(0, len(level), 2)]
+        i >>= 1
+    return out
+
+
+def proven(leaf: bytes, path: list[tuple[bool, bytes]], root: bytes) -> bool:
+    for before, other in path:
+        leaf = digest(other + leaf if before else leaf + other)
+    return digest(b"root" + leaf) == root
+
+
+def leaf_of(doc_id: int | None, start: int, n_tokens: int, root: bytes) -> bytes:
+    return digest(b"null" + struct.pack("<qq", start, n_tokens) + root if doc_id is None else struct.pack("<qqq", doc_id, start, n_tokens) + root)
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of content-defined chunks: LEAST to MOST ids each, but for a document's last."""
     n = len(ids)
@@ -112,7 +153,7 @@ def _encode(path: str, end_id: int, wide: bool):
                     hashes.append(key)
                     lens.append(c - begin)
                     begin = c
-                rows.append(("doc", digest(str(doc_id).encode()), doc_id, count, len(ids), b"".join([merkle(hashes), *hashes]), lens))
+                rows.append(("doc", digest(b"%d" % count), doc_id, count, len(ids), b"".join([merkle(hashes), *hashes]), lens))
                 count += 1
             yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -134,30 +175,46 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     ordered = C.ordered_offsets(said.select("doc_id", F.col("n_ids").alias("n_tokens"), F.substring("payload", 1, 16).alias("root"), F.expr("substring(payload, 17)").alias("hashes"), "lens"), [F.col("doc_id")], "n_tokens", "start", "token-order")
     recipes = ordered.repartitionByRange(C.parts(spark), F.col("start")).sortWithinPartitions("start", "n_tokens").withColumn("shard", F.spark_partition_id())
     recipes.select("shard", "doc_id", "start", "n_tokens", "root", "hashes", "lens").write.parquet(f"{path}/recipes")
-    recipes = read_recipes(spark, path)
-    leaves = recipes.groupBy("shard").agg(F.min("start").alias("start"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    leaves.join(_shard_roots(recipes), "shard").coalesce(1).write.parquet(f"{path}/manifest")
+    shards = _shards(read_recipes(spark, path)).toArrow()  # a row for each of at most as many shards as there are shuffle partitions
+    spark.createDataFrame(shards.append_column("store_root", pa.array([_store_root(shards)] * len(shards), pa.binary())), f"{_SHARD}, store_root binary").coalesce(1).write.parquet(f"{path}/manifest")
+
 
+_SHARD = "shard int, start bigint, n_docs bigint, n_tokens bigint, first_doc bigint, last_doc bigint, shard_root binary"
 
-def _shard_roots(recipes: DataFrame) -> DataFrame:
-    """Each shard's root, streamed over a file's rows in their order."""
+
+def _shards(recipes: DataFrame) -> DataFrame:
+    """Each shard's range, counts and root, over its documents in the order of their starts.
+
+    Only a few numbers and one hash a document are shuffled, and a shard's rows are streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, list] = {}
-        for shards, starts, roots in C.rows_of(batches, "shard", "start", "root"):
-            for s, at, r in zip(shards, starts, roots, strict=True):
-                open_.setdefault(s, [0, 0])
-                # order-free within a shard's files: sum of position-bound leaf hashes
-                open_[s][0] = (open_[s][0] + int.from_bytes(digest(at.to_bytes(8, "little") + r), "little")) % (1 << 128)
-        if open_:
-            yield pa.RecordBatch.from_arrays([pa.array(list(open_), pa.int32()), pa.array([x[0].to_bytes(16, "little") for x in open_.values()], pa.binary())], names=["shard", "part"])
+        open_: int | None = None
+        rows: list[tuple] = []
+        tree, first, docs, tokens, low, high = Tree(), 0, 0, 0, None, None
+
+        def close() -> None:
+            if open_ is not None:
+                rows.append((open_, first, docs, tokens, low, high, tree.root()))
+
+        for shards, ids, starts, counts, roots in C.rows_of(batches, "shard", "doc_id", "start", "n_tokens", "root"):
+            for s, i, at, n, root in zip(shards, ids, starts, counts, roots, strict=True):
+                if s != open_:
+                    close()
+                    open_, tree, first, docs, tokens, low, high = s, Tree(), at, 0, 0, None, None
+                tree.add(leaf_of(i, at, n, root))
+                docs, tokens = docs + 1, tokens + n
+                if i is not None:
+                    low, high = i if low is None else min(low, i), i if high is None else max(high, i)
+        close()
+        t = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*rows, strict=True)) or [[]] * 7, t, strict=True)], names=[x.split()[0] for x in _SHARD.split(", ")])
+
+    return recipes.select("shard", "doc_id", "start", "n_tokens", "root").repartition("shard").sortWithinPartitions("shard", "start").mapInArrow(run, _SHARD)
 
-    def add(key, table):
-        total = sum(int.from_bytes(x, "little") for x in table.column("part").to_pylist()) % (1 << 128)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shard_root": pa.array([digest(total.to_bytes(16, "little"))], pa.binary())})
 
-    partial = recipes.select("shard", "start", "root").mapInArrow(run, "shard int, part binary")
-    return partial.groupBy("shard").applyInArrow(add, "shard int, shard_root binary")  # a few rows a shard
+def _store_root(shards: pa.Table) -> bytes:
+    rows = sorted((tuple(r.values()) for r in shards.select([x.split()[0] for x in _SHARD.split(", ")]).to_pylist()), key=lambda r: r[0])
+    return merkle([digest(repr(r).encode()) for r in rows])
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -170,10 +227,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_manifest(spark: SparkSession, path: str) -> int:
-    """Number of shards whose recomputed root differs from the manifest's."""
-    said = spark.read.parquet(f"{path}/manifest").select("shard", "shard_root")
-    now = _shard_roots(read_recipes(spark, path)).withColumnRenamed("shard_root", "now")
-    return said.join(now, "shard", "full").filter(~F.col("shard_root").eqNullSafe(F.col("now"))).count()
+    """Number of shards whose row, worked out again from the recipes, differs from the manifest's; all, if the store's root does."""
+    said = spark.read.schema(f"{_SHARD}, store_root binary").parquet(f"{path}/manifest").toArrow()
+    now = _shards(read_recipes(spark, path)).toArrow()
+    names = [x.split()[0] for x in _SHARD.split(", ")]
+    was, is_ = ({r["shard"]: r for r in t.select(names).to_pylist()} for t in (said, now))
+    wrong = sum(was.get(k) != is_.get(k) for k in was.keys() | is_.keys())
+    return wrong or (len(said) if any(r != _store_root(now) for r in said.column("store_root").to_pylist()) else 0)
 
 
 def _zero_tables(most: int = 48) -> np.ndarray:
@@ -261,7 +321,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(crc.astype(np.int64))], names=["start", "m", "crc"])
 
     # a chunk that many documents share is one row on the right: its hot key is split
-    # in four here, and further by AQE where that is still too much for a task
+    # in four here, and further by AQE, as the join shuffles for itself
     salts = 4
     left = entries.withColumn("salt", F.pmod(F.hash("start"), F.lit(salts)))
     right = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -95,6 +95,43 @@ def test_token_store_shares_chunks_and_notices_damage(spark):
         list(token_store._chunk_digests(iter([__import__("pyarrow").RecordBatch.from_pydict({"key": [b"x"], "n_ids": [1], "payload": [b"ab"]})])))
 
 
+def test_merkle_trees_and_proofs():
+    for n in range(1, 40):
+        leaves = [token_store.digest(b"%d" % k) for k in range(n)]
+        tree = token_store.Tree()
+        for x in leaves:
+            tree.add(x)
+        root = token_store.merkle(leaves)
+        assert tree.root() == root
+        for k in range(n):
+            assert token_store.proven(leaves[k], token_store.proof(leaves, k), root)
+            assert not token_store.proven(token_store.digest(b"other"), token_store.proof(leaves, k), root)
+    assert token_store.Tree().root() == token_store.merkle([])
+
+
+@pytest.mark.parametrize("change", ["doc_id + 1", "doc_id", "n_tokens", "root", "gone"])
+def test_manifest_notices_one_changed_leaf(spark, docs, change):
+    import pyspark.sql.functions as F
+
+    path = C.new_path(spark, "t")
+    token_store.write_store(docs.where("doc_id between 6 and 60 or doc_id is null"), path, WORD)
+    assert token_store.check_manifest(spark, path) == 0
+    recipes = token_store.read_recipes(spark, path)
+    one = F.col("start") == recipes.agg(F.max("start")).first()[0]
+    if change == "gone":
+        recipes = recipes.where(~one)
+    elif change == "doc_id":  # swapped with that of another document
+        ids = [r["doc_id"] for r in recipes.where("doc_id in (6, 9)").orderBy("doc_id").collect()]
+        recipes = recipes.withColumn("doc_id", F.when(F.col("doc_id") == ids[0], ids[1]).when(F.col("doc_id") == ids[1], ids[0]).otherwise(F.col("doc_id")))
+    else:
+        name = change.split()[0]
+        recipes = recipes.withColumn(name, F.when(one, F.lit(b"x" * 16) if name == "root" else F.col(name) + 1).otherwise(F.col(name)))
+    other = C.new_path(spark, "t")
+    recipes.write.parquet(f"{other}/recipes")
+    spark.read.parquet(f"{path}/manifest").write.parquet(f"{other}/manifest")
+    assert token_store.check_manifest(spark, other) > 0
+
+
 def test_encoder_equals_the_library():
     e = token_store.encoder_of(WORD)
     r = random.Random(1)
