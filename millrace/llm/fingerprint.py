@@ -1,20 +1,24 @@
 """Threshold-scaled document sketches: every shingle hash below a fixed fraction of the hash range.
 
 A sketch keeps the hashes of 3-word shingles (A-Z lower-cased) below
-``FRACTION`` of 2^64. Two sketches merge by union, and as both sample the
-same part of the hash range they compare at any sizes: |A and B| / |A| estimates
-containment of A in B however unequal the documents are. A text with words of
-which no hash lies below the fraction keeps its smallest hash, so that only texts
-without words have an empty sketch.
+``FRACTION`` of 2^64. As all sketches sample the same part of the hash range they
+compare at any sizes: |A and B| / |A| estimates containment of A in B however
+unequal the documents are. Of so few hashes as a short text has, none may be below the
+fraction; sets of at most EXACT hashes are therefore kept whole, and marked so. Two
+whole sets compare exactly, a whole one and a sampled one by what is below the fraction.
 
-A fingerprint is the kept hashes in ascending order, as big-endian 64-bit
-numbers in base64; that of a text without words is an empty string.
+Sketches merge: that of two sets' union is the union of theirs, cut to the fraction
+unless all of it is whole and no larger than EXACT.
+
+A fingerprint is "x" for a whole set or "s" for a sampled one, and the kept hashes in ascending
+order, as big-endian 64-bit numbers in base64; that of a text without words is an empty string.
 
 Defined cases of ``edit_report``: null text counts as empty; the successor of a
 row is the next in (doc_id, text hash) order, nulls first, repeated rows in any
 order among themselves (their texts are equal); after the last comes the first,
-so a single row follows itself; two empty fingerprints are alike (1.0), an empty
-and another are not (0.0); other columns are ignored, whatever their names; an
+so a single row follows itself; two texts without words are alike (1.0), one without
+and another are not (0.0), and neither are a whole and a sampled set with nothing below the
+fraction; a set that shows nothing to be asked for is contained in any; other columns are ignored, whatever their names; an
 empty table gives an empty result.
 """
 
@@ -32,45 +36,80 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHINGLE, FRACTION = 3, 1 / 4
+SHINGLE, FRACTION, EXACT = 3, 1 / 4, 32
 _LIMIT = C.U(int(FRACTION * (1 << 64)))
 
 
-def sketch(words: list[bytes], hashes: C.WordHashes) -> np.ndarray:
+class Sketch:
+    """Ascending distinct hashes: all of a set's (whole), or those below the fraction."""
+
+    __slots__ = ("hashes", "whole")
+
+    def __init__(self, hashes: np.ndarray, whole: bool):
+        self.hashes, self.whole = hashes, whole
+
+    def low(self) -> np.ndarray:
+        return self.hashes[: np.searchsorted(self.hashes, _LIMIT)] if self.whole else self.hashes
+
+    def __eq__(self, other) -> bool:
+        return self.whole == other.whole and np.array_equal(self.hashes, other.hashes)
+
+
+def sketch_of(hashes: np.ndarray) -> Sketch:
+    """Of a set's distinct hashes, ascending."""
+    whole = len(hashes) <= EXACT
+    return Sketch(hashes if whole else hashes[: np.searchsorted(hashes, _LIMIT)], whole)
+
+
+def sketch(words: list[bytes], hashes: C.WordHashes) -> Sketch:
     h = C.shingle_hashes(hashes(words), SHINGLE)
-    if not len(h):
-        return h
-    kept = h[h < _LIMIT]
-    return np.unique(kept) if len(kept) else h.min(keepdims=True)
+    if len(h) <= EXACT:
+        return sketch_of(np.unique(h))
+    kept = np.unique(h[h < _LIMIT])
+    # repeats may leave fewer distinct hashes than a sampled set has
+    if len(kept) <= EXACT:
+        every = np.unique(h)
+        if len(every) <= EXACT:
+            return Sketch(every, True)
+    return Sketch(kept, False)
+
+
+def encode(s: Sketch) -> str:
+    return ("x" if s.whole else "s") + base64.b64encode(s.hashes.astype(">u8").tobytes()).decode() if len(s.hashes) or not s.whole else ""
 
 
-def encode(s: np.ndarray) -> str:
-    return base64.b64encode(s.astype(">u8").tobytes()).decode()
+def decode(fingerprint: str) -> Sketch:
+    return Sketch(np.frombuffer(base64.b64decode(fingerprint[1:]), ">u8").astype(C.U), fingerprint[:1] != "s")
 
 
-def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), ">u8").astype(C.U)
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of the union of the two sets."""
+    if a.whole and b.whole:
+        return sketch_of(np.union1d(a.hashes, b.hashes))
+    return Sketch(np.union1d(a.low(), b.low()), False)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def _comparable(a: Sketch, b: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    return (a.hashes, b.hashes) if a.whole == b.whole else (a.low(), b.low())
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) + len(b) - len(np.union1d(a, b))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = shared(a, b)
-    return both / (len(a) + len(b) - both)
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Jaccard similarity: exact for two whole sets, else estimated."""
+    x, y = _comparable(a, b)
+    if not len(x) and not len(y):
+        return float(a.whole == b.whole)
+    both = shared(x, y)
+    return both / (len(x) + len(y) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated part of a's shingles that b has, for documents of any sizes."""
-    return 1.0 if not len(a) else shared(a, b) / len(a)
+def containment(a: Sketch, b: Sketch) -> float:
+    """Part of a's shingles that b has, for documents of any sizes: estimated unless both are whole."""
+    x, y = _comparable(a, b)
+    return 1.0 if not len(x) else shared(x, y) / len(x)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

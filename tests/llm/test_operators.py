@@ -479,13 +479,43 @@ def test_fingerprints(spark, docs, rows):
     sk = lambda t: fingerprint.sketch(C.ascii_words(t), hashes)
     a, b = " ".join(f"a{k}" for k in range(4000)), " ".join(f"a{k}" for k in range(400))
     assert fingerprint.containment(sk(b), sk(a)) > 0.95 and abs(fingerprint.likeness(sk(a), sk(b)) - 0.1) < 0.04
-    assert set(fingerprint.merge(sk(a), sk("x y z q"))) == set(sk(a)) | set(sk("x y z q"))
-    assert list(fingerprint.decode(fingerprint.encode(sk(a)))) == list(sk(a))
+    # what the report says of each row, from sets kept whole
+    low, succ = fingerprint._LIMIT, {}
+    for k, (i, t) in enumerate(order):
+        succ.setdefault((i, hashlib.sha256(fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()), (t, order[(k + 1) % len(order)][1]))
+
+    def like(t, u):
+        x, y = ({int(v) for v in C.shingle_hashes(hashes(C.ascii_words(w)), 3)} for w in (t, u))
+        if max(len(x), len(y)) > fingerprint.EXACT:
+            if min(len(x), len(y)) > fingerprint.EXACT or (x and y):
+                x, y = {v for v in x if v < low}, {v for v in y if v < low}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for g in got:
+        t, u = succ[g["doc_id"], g["edited_sha256"]]
+        assert g["fingerprint"] == fingerprint.encode(sk(t)) and g["edited_fingerprint"] == fingerprint.encode(sk(fingerprint.edited(t, u)))
+        assert g["near_next"] == pytest.approx(like(t, u)) and g["near_edited"] == pytest.approx(like(t, fingerprint.edited(t, u)))
     one = fingerprint.edit_report(spark.createDataFrame([(1, "abcdefgh")], "doc_id bigint, text string")).collect()
     assert [r["edited_sha256"] for r in one] == [hashlib.sha256(b"abcdefab").hexdigest()]
     assert Counter(r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()) == Counter(r["fingerprint"] for r in got)
 
 
+def test_sketches_merge_to_that_of_the_union():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = (np.unique(np.asarray([r.getrandbits(64) for _ in range(r.choice([0, 1, 5, 20, 33, 60, 400]))], C.U)) for _ in range(2))
+        b = np.unique(np.concatenate((b, a[: r.randint(0, len(a))])))
+        s, t = fingerprint.sketch_of(a), fingerprint.sketch_of(b)
+        assert fingerprint.merge(s, t) == fingerprint.merge(t, s) == fingerprint.sketch_of(np.union1d(a, b))
+        assert fingerprint.decode(fingerprint.encode(s)) == s
+    hashes = C.WordHashes()
+    for _ in range(300):  # what is contained is found so, however short
+        w = [f"w{r.randrange(10**6)}".encode() for _ in range(60)]
+        assert fingerprint.containment(fingerprint.sketch(w[:5], hashes), fingerprint.sketch(w, hashes)) == 1.0
+    again = [b"a", b"b", b"c"] * 100
+    assert fingerprint.sketch(again, hashes).whole and len(fingerprint.sketch(again, hashes).hashes) == 3
+
+
 # -- 8 ----------------------------------------------------------------------------------------
 
 
