@@ -138,13 +138,29 @@ def words_by_line(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     lines = np.cumsum([0, *[r.count(b"\n") + 1 for r in raw[:-1]]]) if raw else np.zeros(0, np.int64)
     if not len(a):
         return np.empty(0, U), np.empty(0, np.int64), lines
-    space = np.concatenate(([True], _SPACES[a], [True]))
+    start, h = hash_words(a, _SPACES)
+    return h, np.cumsum(a == 10)[start], lines
+
+
+#: Bytes hashed at a time; longer runs are cut between words, which changes no hash.
+_PIECE = 1 << 20
+
+
+def hash_words(a: np.ndarray, spaces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of these bytes, which those of the table ``spaces`` part."""
+    space = np.concatenate(([True], spaces[a], [True]))
     start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    up, down = _power_tables(len(a))
-    total = np.concatenate((np.zeros(1, U), np.cumsum((a.astype(U) + U(1)) * up[: len(a)], dtype=U)))
-    h = (total[end] - total[start]) * down[start]
-    line = np.cumsum(a == 10)[start]
-    return mix(h ^ ((end - start).astype(U) * U(_BASE))), line, lines
+    h = np.empty(len(start), U)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + _PIECE, "right")))
+        piece = a[base : end[j - 1]]
+        up, down = _power_tables(len(piece))
+        total = np.concatenate((np.zeros(1, U), np.cumsum((piece.astype(U) + U(1)) * up[: len(piece)], dtype=U)))
+        h[i:j] = (total[end[i:j] - base] - total[start[i:j] - base]) * down[start[i:j] - base]
+        i = j
+    return start, mix(h ^ ((end - start).astype(U) * U(_BASE)))
 
 
 _MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

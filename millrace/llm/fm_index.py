@@ -1,16 +1,18 @@
 """Benchmark decontamination by an FM-index for every training shard.
 
 A shard is a run of whole documents of one task (up to SHARD_CHARS of text, or
-one longer document). Its words become symbols; a word that no benchmark item
-holds becomes a separator, and runs of words shorter than the shortest window
+one longer document). Its words are 64-bit hashes, and those that some benchmark item
+may hold, as a bitmap of all the benchmark's words says, become symbols; any
+other word becomes a separator, and runs of words shorter than the shortest window
 are left out, as no window can occur there. Over the rest stand a suffix array,
 the Burrows-Wheeler transform as a wavelet matrix with ranks, and every eighth
-suffix position. All windows are searched backward at once; occurrences are
+suffix position. Windows are searched backward, many at once; occurrences are
 located by stepping to a sampled position, and a document's hit words are merged
 into spans.
 
-The benchmark is the query set. It is cut into blocks of about BLOCK_WORDS words,
-each of which is one broadcast; a task searches its shards block by block.
+The benchmark is the query set. It is read once and cut into blocks of about BLOCK_WORDS words,
+each of which is one broadcast. A shard is indexed once and searched block by block,
+and where there are several, a worker lets go of one before it takes the next.
 
 Defined cases: null, empty and word-less texts have 0 words and no hit; an item
 without words has no window; an item with a null id counts under the empty
@@ -25,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,52 +139,85 @@ class FMIndex:
         return out
 
 
+_APART = np.isin(np.arange(256), [0x20])
+
+
+def all_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of the words of each text, in order."""
+    raw = [t.encode("utf-8", "surrogatepass").translate(_TABLE) if t else b"" for t in texts]
+    start, h = C.hash_words(np.frombuffer(b" ".join(raw), np.uint8), _APART)
+    bounds = np.searchsorted(start, np.cumsum([0, *[len(r) + 1 for r in raw]])).tolist()
+    return [h[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    return all_hashes([text])[0]
+
+
 class Block:
-    """Windows of some items: symbols from 2 up (1 separates)."""
+    """Windows of some items, as word hashes (rows padded on the left), and whose they are."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[bytes, set[str]] = {}
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
+            ids = hashes_of(text)
+            for i in range(max(1, len(ids) - window + 1)) if len(ids) else ():
+                owners.setdefault(ids[i : i + window].tobytes(), set()).add(item)
         self.owners = list(owners.values())
-        self.lengths = np.asarray([len(w) for w in owners], np.int64)
-        self.windows = np.zeros((len(owners), window), np.int64)
+        self.lengths = np.asarray([len(w) // 8 for w in owners], np.int64)
+        self.windows = np.zeros((len(owners), window), C.U)
         for k, w in enumerate(owners):
-            self.windows[k, window - len(w) :] = w
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
-
-    def search(self, docs: list[list[bytes]], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> None:
-        """Add the occurrences of all windows in a shard's documents to their spans and items."""
-        if not self.shortest:
-            return
-        ids = np.fromiter((x for words in docs for x in (*map(self.vocab.get, words, repeat(1)), 1)), np.int64)
-        known = ids > 1
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
-        begin, end = edge[::2], edge[1::2]
-        long = end - begin >= self.shortest
+            self.windows[k, window - len(w) // 8 :] = np.frombuffer(w, C.U)
+
+
+class Shard:
+    """An FM-index over some documents' words."""
+
+    def __init__(self, docs: list[np.ndarray], known: np.ndarray, log2: int, shortest: int):
+        self.starts = np.cumsum([0, *map(len, docs)])
+        words = np.concatenate([*docs, np.zeros(0, C.U)])
+        self.index = None
+        use = C.marked(known, words >> C.U(64 - log2)).view(np.int8)
+        # runs end at documents' ends: edges are where use begins or stops, document by document
+        cut = np.zeros(len(words) + 1, bool)
+        cut[self.starts] = True
+        begin = np.flatnonzero((use == 1) & (cut[:-1] | (np.concatenate(([0], use[:-1])) == 0)))
+        end = np.flatnonzero((use == 1) & (cut[1:] | (np.concatenate((use[1:], [0])) == 0))) + 1
+        long = end - begin >= shortest
         begin, end = begin[long], end[long]
-        if not len(begin):
+        if not shortest or not len(begin):
             return
         lens = end - begin + 1  # with the separator that follows
         offsets = np.cumsum(lens) - lens
-        source = np.repeat(begin - offsets, lens) + np.arange(int(lens.sum()))
-        index = FMIndex(ids[source], len(self.vocab) + 1)
-        lo, hi = index.search(self.windows, self.lengths)
+        self.source = np.repeat(begin - offsets, lens) + np.arange(int(lens.sum()))
+        last = np.zeros(len(self.source), bool)
+        last[offsets + lens - 1] = True
+        self.vocabulary, ids = np.unique(words[self.source[~last]], return_inverse=True)
+        text = np.ones(len(self.source), np.int64)  # 1 separates
+        text[~last] = ids + 2
+        self.index = FMIndex(text, len(self.vocabulary) + 1)
+
+    def search(self, block: Block, spans: list[list[tuple[int, int]]], items: list[set[str]]) -> None:
+        """Add the occurrences of a block's windows to the documents' spans and items."""
+        if self.index is None or not len(block.owners):
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, block.windows), len(self.vocabulary) - 1)
+        padding = np.arange(block.windows.shape[1]) < (block.windows.shape[1] - block.lengths)[:, None]
+        whole = np.flatnonzero(((self.vocabulary[at] == block.windows) | padding).all(1))
+        if not len(whole):
+            return
+        lo, hi = self.index.search(at[whole] + 2, block.lengths[whole])
         found = np.flatnonzero(hi > lo)
         if not len(found):
             return
         counts = hi[found] - lo[found]
-        which = np.repeat(found, counts)
+        which = np.repeat(whole[found], counts)
         rows = np.repeat(lo[found] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        at = source[index.locate(rows)]
-        starts = np.cumsum([0, *[len(w) + 1 for w in docs]])
-        doc = np.searchsorted(starts, at, "right") - 1
-        for d, a, w in zip(doc.tolist(), (at - starts[doc]).tolist(), which.tolist(), strict=True):
-            spans[d].append((a, a + int(self.lengths[w])))
-            items[d] |= self.owners[w]
+        place = self.source[self.index.locate(rows)]
+        doc = np.searchsorted(self.starts, place, "right") - 1
+        for d, a, w in zip(doc.tolist(), (place - self.starts[doc]).tolist(), which.tolist(), strict=True):
+            spans[d].append((a, a + int(block.lengths[w])))
+            items[d] |= block.owners[w]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,36 +230,71 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of the benchmark's windows, each of about BLOCK_WORDS words."""
+class Benchmark:
+    """Broadcasts: a bitmap of all words' hashes (log2 bits of them), and blocks of windows of about BLOCK_WORDS words."""
+
+    def __init__(self, known, log2: int, shortest: int, blocks: list):
+        self.known, self.log2, self.shortest, self.blocks = known, log2, shortest, blocks
+
+    def __iter__(self) -> Iterator[Block]:
+        for b in self.blocks:
+            yield b.value
+            if len(self.blocks) > 1:
+                vars(b).pop("_value", None)  # what a worker has read of a broadcast; it is read again when asked for
+
+
+def prepared(benchmark: DataFrame, window: int) -> Benchmark:
+    """The benchmark's blocks, one at a time through the driver, from one pass over its items."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-words // (6 * BLOCK_WORDS)))
-    out = []
-    for k in range(n):
-        some = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(Block([(r["item"], r["text"]) for r in some.toLocalIterator()], window)))
-    return out
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in C.rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in all_hashes(texts)], pa.int64())], names=["n"])
+
+    told = items.select("text").mapInArrow(sizes, "n bigint").agg(F.sum("n").alias("words"), F.min(F.expr(f"case when n > 0 then least(n, {window}) end")).alias("shortest")).first()
+    words, log2 = told["words"] or 0, C.bitmap_log2(told["words"] or 0)
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in C.rows_of(batches, "text"):
+            h = np.unique(np.concatenate([*all_hashes(texts), np.zeros(0, C.U)]) >> C.U(64 - log2))
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int32))], names=["spot"])
+
+    known = C.bitmap(items.select("text").mapInArrow(spots, "spot int"), log2)
+    n = max(1, -(-words // BLOCK_WORDS))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    if n > 1:
+        numbered = numbered.repartitionByRange(min(n, C.parts(spark)), "block").sortWithinPartitions("block")
+    blocks, held, now = [], [], None
+    for r in numbered.toLocalIterator():
+        if r["block"] != now and held:
+            blocks.append(spark.sparkContext.broadcast(Block(held, window)))
+            held = []
+        now = r["block"]
+        held.append((r["item"], r["text"]))
+    if held:
+        blocks.append(spark.sparkContext.broadcast(Block(held, window)))
+    return Benchmark(spark.sparkContext.broadcast(known), log2, told["shortest"] or 0, blocks)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], blocks: list):
-    """(batches, their documents' words, merged spans and items), shard by shard."""
+def _shards(batches: Iterator[pa.RecordBatch], bench: Benchmark):
+    """(batches, their documents' numbers of words, merged spans and items), shard by shard."""
     held: list[pa.RecordBatch] = []
-    docs: list[list[bytes]] = []
+    docs: list[np.ndarray] = []
     size = 0
 
     def flush():
+        shard = Shard(docs, bench.known.value, bench.log2, bench.shortest)
         spans: list[list[tuple[int, int]]] = [[] for _ in docs]
         items: list[set[str]] = [set() for _ in docs]
-        for b in blocks:
-            b.value.search(docs, spans, items)
-        return held, docs, [merged(s) for s in spans], items
+        for block in bench if shard.index is not None else ():
+            shard.search(block, spans, items)
+        return held, [len(d) for d in docs], [merged(s) for s in spans], items
 
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         held.append(batch)
-        docs += map(words_of, texts)
+        docs += all_hashes(texts)
         size += sum(len(t) for t in texts if t)
         if size >= SHARD_CHARS:
             yield flush()
@@ -237,15 +306,15 @@ def _shards(batches: Iterator[pa.RecordBatch], blocks: list):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges)."""
     C.prepare(docs.sparkSession)
-    blocks = blocks_of(benchmark, window)
+    bench = prepared(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, words, spans, items in _shards(batches, blocks):
+        for held, words, spans, items in _shards(batches, bench):
             ids = [x for b in held for x in b.column(b.schema.get_field_index("doc_id")).to_pylist()]
             hit = [sum(b - a for a, b in s) for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+                    pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
                     pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                 ],
@@ -270,10 +339,10 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, with every benchmark passage cut out of its text; all columns and rows stay."""
     C.prepare(docs.sparkSession)
-    blocks = blocks_of(benchmark, window)
+    bench = prepared(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, _, spans, _ in _shards(batches, blocks):
+        for held, _, spans, _ in _shards(batches, bench):
             k = 0
             for b in held:
                 mine, at = spans[k : k + b.num_rows], b.schema.get_field_index("text")
