@@ -11,7 +11,11 @@ matched weights, as such and by the text's length, goes through a logistic
 function fitted to the same rows.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are never learned from. At most
-TRAIN_ROWS labelled rows of either class are used: those of the least hash.
+TRAIN_ROWS labelled rows of either class are used: those of the least hash. That
+bounds the lexicon and the phrases too: an entry has LEAST_GAIN of these rows, a phrase two.
+
+A word is a run of letters and digits, and entries match at its beginning; in scripts that put no
+spaces between words an entry is found where such a run begins.
 
 Defined cases: null and empty texts match nothing and get the score of a text
 without matches; a label that is null is no label; a null doc_id is scored and,
@@ -26,9 +30,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TRAIN_ROWS, FOLDS, SHORTEST, LONGEST, LEAST_GAIN, MOST_ENTRIES, MOST_PHRASES, COVERS = 4000, 5, 3, 12, 3, 2000, 1000, 4
+TRAIN_ROWS, FOLDS, SHORTEST, LONGEST, LEAST_GAIN, COVERS = 4000, 5, 3, 12, 3, 4
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _LOOKALIKE = dict(zip("авсԁеёһіјӏкмнорԛгѕтυυѵԝхуαβγεηικνορτυωχ" + "ı" + "ɑɡ", "abcdeehijlkmhopqrstuuvwxyabyenikvoptuwx" + "i" + "ag", strict=True))
 _DIGITS = dict(zip("013457@", "oieasta", strict=True))
@@ -103,7 +109,12 @@ class Model:
                 excused.append((begin, end))
             else:
                 best[begin] = w  # longer entries end later
-        return [(p, w) for p, w in best.items() if not any(x <= p < y for x, y in excused)]
+        if not excused:
+            return list(best.items())
+        # phrases are found by their ends: what covers a position is the one that reaches farthest of those that begin before it
+        excused.sort()
+        begins, reach = [x for x, _ in excused], list(accumulate((y for _, y in excused), max))
+        return [(p, w) for p, w in best.items() if not ((k := bisect_right(begins, p)) and reach[k - 1] > p)]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         words = fold(text or "").split()
@@ -146,7 +157,7 @@ def _cover(rows: dict[str, set[int]], clean: dict[str, int], n_toxic: int, n_cle
     key = lambda f, n: (-(n * weight(f) ** 2), -len(f), f)
     heap = [(*key(f, len(r)), len(r)) for f, r in rows.items()]
     heapq.heapify(heap)
-    while heap and len(out) < MOST_ENTRIES:
+    while heap:
         _, _, f, before = heapq.heappop(heap)
         now = gain(f)
         if now < least:
@@ -250,7 +261,7 @@ def _phrases(sample: DataFrame, model: Model) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array(list(c.values()), pa.int64())], names=["phrase", "toxic", "n"])
 
     found = sample.mapInArrow(find, "phrase string, toxic int, n bigint").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
-    return [r["phrase"] for r in found.filter("clean >= 2 and bad = 0").orderBy(F.desc("clean"), "phrase").limit(MOST_PHRASES).collect()]
+    return [r["phrase"] for r in found.filter("clean >= 2 and bad = 0").orderBy("phrase").collect()]
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
