@@ -2,13 +2,15 @@
 
 A document is encoded once; each token keeps the span of characters that its
 bytes lie in. An interval join of token spans with the document's sections (here
-its lines, each with the line feed that ends it) counts tokens by section. A
-token that crosses a boundary goes by an explicit rule:
+its lines, each with the line feed that ends it; ``cut`` may give other ones, or fields with
+gaps between them) counts tokens by section. A token that meets several goes by an explicit rule:
 
-* ``start``: to the section of its first character (the default),
-* ``end``: to that of its last character,
+* ``start``: to the first section that it meets (the default),
+* ``end``: to the last one,
 * ``most``: to the section with most of its characters, the earliest of equals.
 
+A token that meets none is in n_tokens alone.
+
 Defined cases: a null or empty text has no tokens and no sections; a text that
 ends in a line feed has no empty last section; repeated rows each get their row;
 a null doc_id stays null; other columns are ignored, whatever their names; an
@@ -98,24 +100,32 @@ def lines(text: str) -> list[int]:
     return starts
 
 
-def allocate(spans: np.ndarray, starts: list[int], rule: str) -> tuple[np.ndarray, int]:
-    """Tokens by section, and how many cross a boundary."""
-    begin = np.asarray(starts, np.int64)
-    first, last = np.searchsorted(begin, spans[:, 0], "right") - 1, np.searchsorted(begin, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right") - 1
+def allocate(spans: np.ndarray, sections: list, rule: str) -> tuple[np.ndarray, int]:
+    """Tokens by section, and how many meet several. Sections, ascending and apart from each other, are (start, end)
+    pairs, or starts of sections that end where the next begins."""
+    if not sections:
+        return np.zeros(0, np.int64), 0
+    if isinstance(sections[0], tuple):
+        begin, ends = np.asarray(sections, np.int64).T
+    else:
+        begin = np.asarray(sections, np.int64)
+        ends = np.append(begin[1:], np.iinfo(np.int64).max)
+    first, last = np.searchsorted(ends, spans[:, 0], "right"), np.searchsorted(begin, np.maximum(spans[:, 1], spans[:, 0] + 1), "left") - 1
+    inside = first <= last
+    spans, first, last = spans[inside], first[inside], last[inside]
     crossing = int((first != last).sum())
     to = last if rule == "end" else first.copy()
     if rule == "most":
-        ends = np.append(begin[1:], np.iinfo(np.int64).max)
         for i in np.flatnonzero(first != last).tolist():
             part = [min(ends[s], spans[i, 1]) - max(begin[s], spans[i, 0]) for s in range(first[i], last[i] + 1)]
             to[i] = first[i] + int(np.argmax(part))
-    return np.bincount(to, minlength=len(starts)), crossing
+    return np.bincount(to, minlength=len(begin)), crossing
 
 
 _encoders: dict[str, SpanEncoder] = {}
 
 
-def attribute(docs: DataFrame, tokenizer: str, rule: str = "start", cut: Callable[[str], list[int]] = lines) -> DataFrame:
+def attribute(docs: DataFrame, tokenizer: str, rule: str = "start", cut: Callable[[str], list] = lines) -> DataFrame:
     """Per document: doc_id, n_tokens, n_sections, n_crossing, section_tokens (by section, in order)."""
     if rule not in ("start", "end", "most"):
         raise ValueError(f"no such rule: {rule}")
@@ -129,7 +139,7 @@ def attribute(docs: DataFrame, tokenizer: str, rule: str = "start", cut: Callabl
             n, sections, crossing, counts = [], [], [], []
             for text in texts:
                 spans, starts = enc.spans(text or ""), cut(text or "")
-                c, x = allocate(spans, starts, rule) if starts else (np.zeros(0, np.int64), 0)
+                c, x = allocate(spans, starts, rule)
                 n.append(len(spans))
                 sections.append(len(starts))
                 crossing.append(x)

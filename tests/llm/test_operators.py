@@ -371,6 +371,23 @@ def test_toxicity_exceptions():
     assert (w("the scum here"), w("the pond scum here"), w("scumbag"), w("viscum")) == (3.0, 0, 1.0, 0)
 
 
+def test_toxicity_matches_by_hand(spark):
+    """The automaton against a search of every word for every entry, on long and repeated texts too."""
+    r = random.Random(8)
+    entries = {"".join(r.choice("ab") for _ in range(r.randint(3, 6))): float(k + 1) for k in range(30)}
+    m = toxicity.Model(weights=entries, exceptions=["aab bba", "bab abab", "aa aa", "abb"], bias=-1.0, coefs=(1.0, 0.5, 0.25))
+    texts = ["".join(r.choice("aabb ") for _ in range(n)) for n in (0, 1, 5, *[60] * 200, 200_000)]
+    for t in texts:
+        words = t.split()
+        excused = {k for k in range(len(words)) for e in m.exceptions for n in [len(e.split())] for j in range(max(0, k - n + 1), k + 1) if words[j : j + n] == e.split()}
+        want = [(k, entries[max((e for e in entries if w.startswith(e)), key=len)]) for k, w in enumerate(words) if k not in excused and any(w.startswith(e) for e in entries)]
+        line = f" {' '.join(words)} "
+        assert sorted(w for _, w in m.matches(line)) == sorted(w for _, w in want)
+    rows = [(k, t, 1) for k, t in enumerate(texts)] + [(3, texts[3], 1), (3, texts[3], 1)]
+    got = toxicity.scores(spark.createDataFrame(rows, "doc_id bigint, text string, held_out int"), m).collect()
+    assert Counter((x["doc_id"], x["score"]) for x in got) == Counter((i, m.score(t)) for i, t, _ in rows)
+
+
 # -- 6 ----------------------------------------------------------------------------------------
 
 
@@ -542,6 +559,29 @@ def test_token_counts(spark, rows, rule):
     assert sum(r["n_crossing"] for r in got) > 0
 
 
+def test_token_counts_of_fields():
+    """Fields with gaps, and sections that don't begin with the text, against all pairs of tokens and fields."""
+    r = random.Random(7)
+    for _ in range(200):
+        edges = sorted(r.sample(range(60), 2 * r.randint(1, 6)))
+        fields = list(zip(edges[::2], edges[1::2], strict=True))
+        at, spans = 0, []
+        while at < 60:
+            n = r.choice([0, 1, 1, 2, 5, 9])
+            spans.append((at, at + n))
+            at += max(n, 1)
+        for rule in ("start", "end", "most"):
+            want, crossing = [0] * len(fields), 0
+            for a, b in spans:
+                over = [k for k, (x, y) in enumerate(fields) if x < max(b, a + 1) and y > a]
+                crossing += len(over) > 1
+                if over:
+                    want[over[0] if rule == "start" else over[-1] if rule == "end" else max(over, key=lambda k: (min(b, fields[k][1]) - max(a, fields[k][0]), -k))] += 1  # noqa: B023
+            got, x = token_counts.allocate(np.asarray(spans), fields, rule)
+            assert (got.tolist(), x) == (want, crossing)
+    assert token_counts.allocate(np.asarray([(0, 2), (2, 5), (7, 8)]), [3, 6], "start")[0].tolist() == [1, 1]
+
+
 # -- 9 ----------------------------------------------------------------------------------------
 
 
@@ -705,10 +745,43 @@ def test_several_benchmark_blocks(docs, spark, monkeypatch):
     bench = spark.createDataFrame(bench.collect(), bench.schema)
     one = sorted(map(str, fm_index.contamination(docs, bench).collect()))
     monkeypatch.setattr(fm_index, "BLOCK_WORDS", 20)
-    assert len(fm_index.blocks_of(bench, 10)) > 3
+    assert len(fm_index.prepared(bench, 10).blocks) > 3
     assert sorted(map(str, fm_index.contamination(docs, bench).collect())) == one
 
 
+def test_one_benchmark_block_is_held_at_a_time():
+    class Told:
+        """Like a broadcast in a worker, which holds what it has read."""
+
+        reads = 0
+
+        def __init__(self, items):
+            self.items = items
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                Told.reads += 1
+                self._value = fm_index.Block(self.items)
+            return self._value
+
+    blocks = [Told([(str(k), f"a{k} b c d e f g h i j k")]) for k in range(5)]
+    bench = fm_index.Benchmark(None, 20, 10, blocks)
+    for _ in bench:
+        assert sum(hasattr(b, "_value") for b in blocks) == 1
+    assert Told.reads == 5 and not any(hasattr(b, "_value") for b in blocks)
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(1)
+    text = " ".join("é" * r.randint(1, 40) if r.random() < 0.1 else "x" * r.randint(1, 9) + str(r.randrange(99)) for _ in range(3000)) + " " + "y" * 5000
+    one = fm_index.hashes_of(text), C.words_by_line([text, None, "a\nb"])
+    monkeypatch.setattr(C, "_PIECE", 64)
+    two = fm_index.hashes_of(text), C.words_by_line([text, None, "a\nb"])
+    assert (one[0] == two[0]).all() and all((x == y).all() for x, y in zip(one[1], two[1], strict=True))
+    assert len(set(one[0].tolist())) == len(set(text.split()))
+
+
 # -- all --------------------------------------------------------------------------------------
 
 
