@@ -233,7 +233,7 @@ def links(docs: DataFrame, percent: int = 90, k: int = 5) -> tuple[DataFrame, Da
     own = ready.select(F.explode(F.expr("concat(flatten(schemes.keys), flatten(schemes.deleted))")).alias("key"))
     slot = F.shiftrightunsigned("key", 64 - SLOTS_LOG2)
     counts = np.ones(1 << SLOTS_LOG2, np.float64)
-    often = own.groupBy(slot.alias("slot")).count().filter("count > 8").toArrow()  # at most 2^20 rows
+    often = own.groupBy(slot.alias("slot")).count().toArrow()  # at most 2^20 rows, whatever the input
     counts[often.column("slot").to_numpy()] = often.column("count").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
     rows = ready.mapInArrow(_rows(percent, shared), "key bigint, probe boolean, indexed boolean, uid bigint, n bigint")
