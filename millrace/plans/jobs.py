@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import scratch
+
 SIDE_NAME = re.compile(r"[A-Za-z0-9_@:-]+\Z")
 
 
@@ -29,8 +31,12 @@ class Job:
     error: str = ""
 
 
+_KNOWN = "name string, seq bigint, job string"
+
+
 class Jobs:
-    """A registry over one Spark session; stage results are Parquet folders below ``root``."""
+    """A registry of jobs; stage results are Parquet folders below ``root``, and so is what is known of each job:
+    ``load`` finds it again in another session."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.jobs = spark, root.rstrip("/"), {}
@@ -46,6 +52,7 @@ class Jobs:
         job = Job(self.new_name(prefix))
         self.jobs[job.name] = job
         self.event(job, "job starts")
+        self._save(job)
         self.spark.sparkContext.setJobGroup(job.name, prefix, interruptOnCancel=True)
         try:
             made = make(self.spark)
@@ -56,12 +63,27 @@ class Jobs:
                 job.profile[stage] = time.time() - began
                 self.event(job, f"stage {stage} is ready")
             job.status = "ready"
+            self._save(job)
         except Exception as e:
             job.status, job.error = "dead", str(e)[:2000]
             self.event(job, "job died")
+            self._save(job)
             raise JobError(f"{job.name} died") from e
         return job
 
+    def _save(self, job: Job) -> None:
+        row = (job.name, time.time_ns(), json.dumps(vars(job)))
+        self.spark.createDataFrame([row], _KNOWN).coalesce(1).write.mode("append").parquet(f"{self.root}/known")
+
+    def load(self) -> Jobs:
+        """Jobs of earlier sessions as they were last written; one that was active then may still be, elsewhere."""
+        table = scratch.read_or_empty(self.spark, f"{self.root}/known", _KNOWN)
+        for r in table.groupBy("name").agg(F.max_by("job", "seq").alias("job")).orderBy("name").collect():
+            job = Job(**json.loads(r["job"]))
+            if job.status != "purged":
+                self.jobs.setdefault(job.name, job)
+        return self
+
     def event(self, job: Job, text: str) -> None:
         job.events.append(json.dumps([time.strftime("%Y/%m/%d %H:%M:%S"), os.uname().nodename, text]))
 
@@ -95,13 +117,15 @@ class Jobs:
         self.spark.sparkContext.cancelJobGroup(name)
         if self.status(name) == "active":
             self.jobs[name].status = "dead"
+            self._save(self.jobs[name])
 
     def purge(self, name: str) -> None:
         """Forget a job and delete its results."""
-        self.jobs.pop(name)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/jobs/{_file(name)}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        job = self.jobs.pop(name)
+        for path in (f"{self.root}/jobs/{_file(name)}", self._side_path(name)):
+            scratch.delete(self.spark, path)
+        job.status = "purged"
+        self._save(job)
 
     def names(self) -> list[str]:
         return list(self.jobs)
@@ -120,10 +144,7 @@ class Jobs:
 
     def side(self, name: str) -> DataFrame:
         schema = "job string, key string, value binary, seq bigint"
-        try:
-            return self.spark.read.schema(schema).parquet(self._side_path(name))
-        except Exception:
-            return self.spark.createDataFrame([], schema)
+        return scratch.read_or_empty(self.spark, self._side_path(name), schema)
 
     def get(self, name: str, key: str) -> bytes | None:
         row = last_written(self.side(name).where(F.col("key") == key)).first()

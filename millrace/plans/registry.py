@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import pyfuncs as P
 from millrace.functions import scalars as S
 from millrace.operators import core as O
-from millrace.plans import classic, jobs, pipeline, workloads
+from millrace.plans import classic, jobs, pipeline, tasks, workloads
 from millrace.sources import readers, scratch, sinks
 from millrace.sources.catalog import Catalog
 from millrace.streaming import files as streams
@@ -294,10 +294,22 @@ def word_count(spark, sf_dir):
 
 @query("map_06_letters", "SELECT c AS k, CAST(count(*) AS BIGINT) AS v FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM documents) WHERE c >= 'a' AND c <= 'z' GROUP BY 1")
 def _(spark, sf_dir):
-    # a text's letters are counted in place, so that no row a letter is ever made
-    low = F.lower("text")
-    counts = table(spark, sf_dir, "documents").agg(*[F.sum(F.length(low) - F.length(F.translate(low, c, ""))).alias(c) for c in CHARS])
-    return counts.unpivot([], list(CHARS), "k", "v").select("k", F.col("v").cast("bigint").alias("v")).where("v > 0")
+    # one look at each byte: letters a to z are single bytes in UTF-8, and no other character has such bytes
+    def letters(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            texts = b.column(0)
+            width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+            ends = np.frombuffer(texts.buffers()[1], width)[[texts.offset, texts.offset + len(texts)]] if len(texts) else (0, 0)
+            if ends[1] > ends[0]:
+                total += np.bincount(np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[1]], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(list(CHARS)), pa.array(total[97:123])], names=["k", "v"])
+
+    counts = table(spark, sf_dir, "documents").select(F.lower("text").alias("text")).mapInArrow(letters, "k string, v bigint")
+    return counts.groupBy("k").agg(F.sum("v").alias("v")).where("v > 0")
 
 
 @query("map_07_clean_words", f"""SELECT w AS k, CAST(count(*) AS BIGINT) AS v FROM (SELECT unnest(regexp_split_to_array(lower(translate(text, '{S.PUNCTUATION.replace("'", "''")}', '')), '{WS}')) AS w FROM documents) WHERE w <> '' GROUP BY 1""")
@@ -394,7 +406,10 @@ def _(spark, sf_dir):
 
 @query("prt_04_no_partitions", "SELECT n_name AS k, 0 AS label FROM nation")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("k"), F.lit(0).alias("label"))
+    job = classic.ClassicJob(map=lambda r, p: [(r[0], "")], partitions=None)
+    out = job.result(table(spark, sf_dir, "nation").select("n_name"))
+    # a job without partitions gives rows no label: its one output is label 0
+    return out.select("k", F.col("label").cast("int").alias("label") if "label" in out.columns else F.lit(0).alias("label"))
 
 
 @query("prt_05_label_by_record", f"SELECT {_LABEL.format(k='c_name', n=160)} AS label, CAST(min(c_custkey) AS BIGINT) AS low FROM customer GROUP BY 1")
@@ -883,6 +898,27 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
 
 
+@query("udf_07_task_helpers", "SELECT 'n_' || lower(n_name) AS k, CAST(n_nationkey AS BIGINT) AS v FROM nation UNION ALL SELECT 'put:' || replace(r_name, ' ', '_'), CAST(count(*) AS BIGINT) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _(spark, sf_dir):
+    """A task reads a side result of an earlier job, knows where it is, and puts side results of its own."""
+    registry = jobs.Jobs(spark, scratch.folder(spark, "jobs"))
+    before = registry.run("prefix", lambda s: table(s, sf_dir, "region").select("r_name"))
+    registry.put(before.name, "prefix", b"n_")
+
+    def names(rows, task):
+        some = {}
+        for key, name, region in rows:
+            some[region] = some.get(region, 0) + 1
+            yield task.get("prefix").decode() + name.lower(), key
+        for region, n in some.items():
+            task.put(f"{region.replace(' ', '_')}@{task.this_partition}", str(n).encode())
+
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("bigint"), "n_name", "r_name")  # five rows
+    out, side = tasks.with_tasks(nations.repartition(3), names, "k string, v bigint", before.name, registry.side(before.name))
+    put = side.groupBy(F.concat(F.lit("put:"), F.split("key", "@")[0]).alias("k")).agg(F.sum(F.col("value").cast("string").cast("bigint")).alias("v"))
+    return out.union(put)
+
+
 @query("udf_09_argument_order", "SELECT n_name AS k, CAST(7 AS BIGINT) AS v FROM nation")
 def _(spark, sf_dir):
     job = classic.ClassicJob(map=lambda r, p: [(r[0], p)], params=3, partitions=None, map_schema="k string, v bigint").resolved(params=7)

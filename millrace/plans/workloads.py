@@ -18,8 +18,12 @@ from millrace.sources import scratch
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, digits: int | None = None, cut_every: int = 4) -> DataFrame:
     """nodes (node), edges (src, dst, w): score = 1 - d + d * sum of incoming score * w, from 1.
 
-    Edges to unknown nodes count for nothing. Lineage is cut every few rounds by
-    a table in the shared folder."""
+    Edges to unknown nodes count for nothing. Edges are worked out once, and lineage is
+    cut every few rounds, by tables in the shared folder."""
+    if rounds > 1:
+        path = scratch.folder(nodes.sparkSession, "edges")
+        edges.select("src", "dst", "w").write.parquet(path)
+        edges = nodes.sparkSession.read.parquet(path)
     ranks = nodes.select("node", F.lit(1.0).alias("score"))
     for k in range(rounds):
         sent = edges.join(ranks, edges.src == ranks.node).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("s"))

@@ -332,3 +332,65 @@ def test_url_functions_of_other_urls(spark):
     d = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, u string")
     got = [tuple(r)[1:] for r in d.select("k", S.scheme("u"), S.net_location("u"), S.url_path("u"), S.job_name("u")).orderBy("k").collect()]
     assert got == [("http", "h", "", ""), ("http", "h", "", "h"), ("http", "h:1", "a/b", "a"), ("", "", "x", None), ("", "", "a/b", "a"), ("", "", "", None), ("", "", None, None)]
+
+
+def test_commands_on_tags_and_jobs(spark, tmp_path, capsys):
+    from millrace import cli
+    from millrace.plans.jobs import JobError, Jobs
+
+    root = str(tmp_path)
+    out = lambda *args: (cli.main(list(args)), capsys.readouterr().out.splitlines())
+    (tmp_path / "in.txt").write_text("one\ntwo\n")
+    assert out("push", root, "a", "raw://x", "raw://y")[0] == 0 and out("push", root, "a", "raw://x", "--update")[0] == 0
+    assert out("cp", root, "a", "b")[0] == out("touch", root, "e")[0] == out("put", root, "c", "tag://a", "raw://z")[0] == 0
+    assert sorted(out("blobs", root, "c")[1]) == ["raw://x", "raw://y", "raw://z"] and out("urls", root, "e")[1] == ["[]"]
+    assert out("chunk", root, "d", f"{root}/in.txt")[0] == 0
+    assert sorted(out("cat", root, "d")[1]) == ["one", "two"] and out("xcat", root, "raw://hi")[1] == ["hi"]
+    assert out("chtok", root, "b", "--write", "w", "--read", "r")[0] == 0
+    with pytest.raises(Exception):
+        Catalog(spark, root).get("b")
+    registry = Jobs(spark, root)
+    job = registry.run("good", lambda s: {"map": s.range(3), "reduce": s.range(1)})
+    registry.put(job.name, "k", b"v")
+    with pytest.raises(JobError):
+        registry.run("bad", lambda s: s.read.parquet(f"{root}/nowhere"))
+    bad = registry.names()[1]
+    assert out("jobs", root)[1] == sorted([f"{job.name} ready", f"{bad} dead"])
+    assert out("status", root, job.name)[1] == ["ready"] and out("wait", root, bad)[0] == 1 and out("status", root, "none")[0] == 1
+    assert sorted(out("jobresults", root, job.name, "--stage", "map")[1]) == ["[0]", "[1]", "[2]"]
+    assert any("map is ready" in x for x in out("events", root, job.name)[1])
+    assert out("oob", root, job.name)[1] == ["k"] and out("oob", root, job.name, "k")[1] == ["v"] and out("oob", root, job.name, "none")[0] == 1
+    assert out("purge", root, job.name)[0] == 0 and out("jobs", root)[1] == [f"{bad} dead"]
+    assert Jobs(spark, root).load().status(job.name) == "unknown"
+
+
+def test_only_a_missing_path_is_an_empty_table(spark, tmp_path):
+    from millrace.sources import scratch
+
+    assert scratch.read_or_empty(spark, f"{tmp_path}/none", "k string").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        scratch.read_or_empty(spark, f"{tmp_path}/bad", "k string").count()
+    Catalog(spark, f"{tmp_path}/c").tag("t", [["raw://x"]])
+    with pytest.raises(Exception):
+        scratch.read_or_empty(spark, "nosuch://x/y", "k string").count()
+
+
+def test_temporary_folders_are_for_local_sessions(spark, monkeypatch):
+    from types import SimpleNamespace as N
+
+    from millrace.sources import scratch
+
+    far = N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://h:7077"))
+    with pytest.raises(ValueError):
+        scratch.folder(far, "x")
+
+
+def test_letters_of_awkward_texts(spark, tmp_path):
+    from millrace.plans import registry
+
+    texts = [None, "", "aB\u212a\u0130z{`", "\u00e9\u4e2d" * 1000 + "q", "x"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["k"]: r["v"] for r in registry.QUERIES["map_06_letters"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 1, "b": 1, "k": 1, "i": 1, "z": 1, "q": 1, "x": 1}
