@@ -51,8 +51,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
-    A text without words is taken no time, as it adds nothing to a source's size; a null source is one of its own; rows that tie at a
-    source's cut share the words left evenly."""
+    A text without words adds nothing to a source's size, and comes as often as the source is taken as a whole; a null
+    source is one of its own; rows that tie at a source's cut share the words left evenly."""
     return _measured(mixing.mix(docs))
 
 
