@@ -785,6 +785,20 @@ def test_hashes_do_not_depend_on_pieces(monkeypatch):
 # -- all --------------------------------------------------------------------------------------
 
 
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    with pytest.raises(ValueError):
+        C.shared_dir(N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://h:7077")))
+
+
+def test_bitmaps(spark):
+    for log2, spots in ((20, [0, 1, 63, 64, 65, 1 << 19, (1 << 20) - 1, 63]), (22, [(1 << 22) - 1]), (20, [])):
+        bits = C.bitmap(spark.createDataFrame([(x,) for x in spots], "spot int"), log2)
+        assert np.flatnonzero(C.marked(bits, np.arange(1 << log2))).tolist() == sorted(set(spots))
+    assert (C.bitmap_log2(0), C.bitmap_log2(1 << 20), C.bitmap_log2(10**12)) == (20, 24, 28)
+
+
 def test_empty_tables(spark, none):
     path = C.new_path(spark, "t")
     token_store.write_store(none, path, WORD)

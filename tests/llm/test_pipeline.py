@@ -101,3 +101,58 @@ def test_mix_and_tokens(stages):
     last = stages[5]
     assert Counter(zip(last.doc_id, last.n_tokens, last.ids_crc32, strict=True)) == want
     assert sorted(last.start) == np.cumsum([0, *last.sort_values("start").n_tokens[:-1]]).tolist()
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, tmp_path_factory):
+    """Documents with nulls in all columns, empty and very long texts, ties, repeated rows and clashing names; tables beside them."""
+    path = str(tmp_path_factory.mktemp("sf"))
+    long = " ".join(f"word{k % 5000}x{k}" for k in range(60_000))
+    texts = [None, "", " \n", "one", "one", "a b c d e f", long, long + " more", "the quick brown fox jumps over the lazy dog again and", "x" * 300_000, None]
+    rows = [(k, t, "en", f"s{k % 3}" if k % 4 else None, None if k % 2 else 1, "h", k, None) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[3], rows[6], (None, "one", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, uid int, `set key` int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and"), (2, None), (None, "")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(3, 1, 0), (5, 1, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path, rows
+
+
+def _row(r):
+    return tuple(r[c] for c in ("doc_id", "text", "source"))
+
+
+def test_stages_on_awkward_rows(spark, awkward):
+    import corpus_pipeline as p
+    from millrace.llm import common as C
+
+    path, rows = awkward
+    docs = C.read_table(spark, path, "documents")
+    columns, stage = docs.columns, dict(p.STAGES)
+    clean = C.materialize(stage["toxicity"](spark, docs, path), "t")
+    assert clean.columns == columns and clean.count() == len(rows)
+    one = C.materialize(stage["ngram_join"](spark, clean, path), "t")
+    kept = sorted(map(_row, one.collect()), key=repr)
+    lone = [r[1] for r in rows if not (r[1] or "").split()]
+    assert sorted(t or "" for _, t, _ in kept if not (t or "").split()) == sorted(t or "" for t in lone)
+    assert sorted((i, len(t)) for i, t, _ in kept if (t or "").split()) == sorted((i, len(rows[i][1])) for i in (3, 5, 6, 8, 9))
+    cut = C.materialize(stage["decontamination"](spark, one, path), "t")
+    assert cut.columns == columns and {(r["doc_id"], r["text"]) for r in cut.collect()} == {(i, "the " if i == 8 else t) for i, t, _ in kept}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut.collect())
+    mixed = C.materialize(stage["mixing"](spark, cut, path), "t")
+    size = lambda some: sum(len((r["text"] or "").split()) for r in some.select("text").collect())
+    assert mixed.columns == columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in cut.collect()}
+    assert 0 < size(mixed) <= 3 * size(cut)
+    stored = stage["token_store"](spark, mixed, path)
+    assert stored.count() == mixed.count()
+
+
+def test_stages_on_empty_tables(spark, awkward):
+    import corpus_pipeline as p
+    from millrace.llm import common as C
+
+    path, _ = awkward
+    none = C.read_table(spark, path, "documents").where("false")
+    for name, stage in p.STAGES:
+        out = stage(spark, none, path)
+        assert out.count() == 0 and (name == "token_store" or out.columns == none.columns)
